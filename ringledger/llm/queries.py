@@ -7,23 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringledger.llm import substrings, suffixes
+from ringledger.llm import decontam, mixing, quality, sharding, substrings, suffixes
 from ringledger.llm.common import load
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mixing.assign(load(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c["words"])
+    rows = rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.try_element_at("copies.position", F.lit(1)).alias("position"))
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = substrings.remove_repeated(load(spark, folder, "documents"), window=35)
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    rows = decontam.find(load(spark, folder, "documents"), load(spark, folder, "benchmark"), window=13)
+    named = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named.alias("items_sha256"), "contaminated")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = suffixes.remove_seen(load(spark, folder, "documents"), length=50)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    slim = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = sharding.shard(slim, shards=24, text_col="text_crc32")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality.rules(load(spark, folder, "documents"), with_text=False)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op7_sharding": op7_sharding,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 SQL: dict[str, str] = {}
