@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringledger.llm import decontam, mixing, quality, sharding, substrings, suffixes
+from ringledger.llm import decontam, lines, mixing, neardup, quality, sharding, substrings, suffixes
 from ringledger.llm.common import load
 
 
@@ -47,6 +47,16 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, folder, "documents"), width=4, threshold=80)
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = lines.dedup(load(spark, folder, "documents"), width=8, threshold=80)
+    kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return rows.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
@@ -54,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {}
