@@ -143,7 +143,9 @@ def dedup(docs: DataFrame, width: int = 8, threshold: int = 80, id_col: str = "d
     told = found.select("b", "key").join(verdict, F.col("key") == F.col("_k")).select("b", "key", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
 
     def final(table, answers):
-        stay = dict(zip(answers["key"].to_pylist(), zip(answers["first_doc"].to_pylist(), answers["first_line"].to_pylist(), strict=True), strict=True))
+        told = dict(zip(answers["key"].to_pylist(), zip(answers["first_doc"].to_pylist(), answers["first_line"].to_pylist(), strict=True), strict=True))
+        own = Lines(table)  # a line that no answer names occurs in this bundle only
+        stay = {line: told.get(key_of(line), at) for line, at in zip(own.text, own.at, strict=True)}
         texts, counts, removed = [], [], []
         ids = table["doc_id"].fill_null(S.NO_ID).to_pylist()
         for i, text in zip(ids, table["text"].to_pylist(), strict=True):
@@ -151,7 +153,7 @@ def dedup(docs: DataFrame, width: int = 8, threshold: int = 80, id_col: str = "d
             for at, line in enumerate((text or "").split("\n")):
                 if line.strip(BLANK):
                     total += 1
-                    if stay.get(key_of(line), (i, at)) != (i, at):
+                    if stay[line] != (i, at):
                         gone += 1
                         continue
                 kept.append(line)
