@@ -81,9 +81,8 @@ def assign(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     sized = docs.select(id_, source, word_count(text).alias("size"), row_hash(F.col(id_col), text, seed).alias("h"), *([whole] if carry else []))
     sized = sized.withColumn("bucket", F.pmod("h", F.lit(n)))
     slim = stored(sized.drop("row"))
-    rows = before(sized if carry else slim, slim, ["source"], "size", ["h", "doc_id", "size"], "start")
-    goals = targets(slim, weights, share, cap).select(F.col("source").alias("_source"), "source_size", "target", "turn")
-    rows = rows.join(goals, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    goals = targets(slim, weights, share, cap).withColumnRenamed("source", "_k_source")
+    rows = before(sized if carry else slim, slim, ["source"], "size", ["h", "doc_id", "size"], "start", about=goals)
     epochs = max(1, -(-int(cap * 1000) // 1000))
     budget = F.floor("target")
 
