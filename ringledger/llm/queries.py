@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringledger.llm import decontam, lines, mixing, neardup, quality, sharding, substrings, suffixes
+from ringledger.llm import decontam, lines, lm, mixing, neardup, quality, sharding, substrings, suffixes, warc
 from ringledger.llm.common import load
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = load(spark, folder, "pages")
+    records = warc.read(warc.write(pages, warc.package_folder(pages), revisit_from=0), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixing.assign(load(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c["words"])
@@ -34,6 +40,10 @@ def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(load(spark, folder, "documents"), vocabulary=lm.VOCABULARY)
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -58,10 +68,12 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
