@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ringledger.plans import joins, projections, scans
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = []
+MODULES: list = [scans.M, projections.M, joins.M]
 
 
 def queries() -> dict[str, Query]:
