@@ -72,10 +72,10 @@ def prj10(spark, folder):
     return contests(spark, folder).select(lo.alias("lo"), hi.alias("hi")).agg(F.count("*").alias("n"), F.countDistinct(F.struct("lo", "hi")).alias("pairs"))
 
 
-@query("prj11_row_order_predicate", "WITH " + HISTORY + " SELECT entity, id FROM history h WHERE (d, id) < (SELECT (max(d), 0::BIGINT) FROM history) AND (d < TIMESTAMP '1993-01-01' OR (d = TIMESTAMP '1993-01-01' AND id < 1000))")
+@query("prj11_row_order_predicate", "WITH " + HISTORY + " SELECT entity, id FROM history h WHERE (d, id) < (SELECT (max(d), 0::BIGINT) FROM history) AND (d < TIMESTAMP '1995-03-01' OR (d = TIMESTAMP '1995-03-01' AND id < 1000))")
 def prj11(spark, folder):
     h = history(spark, folder)
-    return h.filter(F.struct("d", "id") < F.struct(F.expr("timestamp_ntz '1993-01-01'").alias("d"), F.lit(1000).cast("long").alias("id"))).select("entity", "id")
+    return h.filter(F.struct("d", "id") < F.struct(F.expr("timestamp_ntz '1995-03-01'").alias("d"), F.lit(1000).cast("long").alias("id"))).select("entity", "id")
 
 
 @query("prj12_flags", "SELECT o_orderkey, o_totalprice > 200000 AND o_orderstatus = 'F' AS big_won, NOT (o_totalprice > 200000) OR o_orderstatus = 'O' AS other FROM orders")

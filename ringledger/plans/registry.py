@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringledger.plans import joins, projections, scans
+from ringledger.plans import aggregates, joins, projections, scans, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [scans.M, projections.M, joins.M]
+MODULES: list = [scans.M, projections.M, joins.M, aggregates.M, windows.M]
 
 
 def queries() -> dict[str, Query]:
