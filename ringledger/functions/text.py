@@ -86,7 +86,8 @@ def method(x: Column) -> Column:
 def clock_minutes(round_: Column, clock: Column) -> Column:
     """Minutes of a contest that ended in a round at m:ss (rounds of five minutes): 15 without round, at least half a minute."""
     m, s = number(clock, r"^(\d+):(\d+)$", 1), number(clock, r"^(\d+):(\d+)$", 2)
-    return F.coalesce(F.greatest(F.lit(0.5), F.coalesce((round_ - 1) * 5 + m + s / 60, round_ * 5.0)), F.lit(15.0))
+    minutes = F.coalesce((round_ - 1) * 5 + m + s / 60, round_ * 5.0)
+    return F.when(minutes.isNull(), 15.0).otherwise(F.greatest(F.lit(0.5), minutes))
 
 
 def parse_date(x: Column, formats: tuple[str, ...] = ("yyyy-MM-dd", "MM/dd/yyyy", "MMM dd, yyyy", "MMMM dd, yyyy", "dd MMM yyyy")) -> Column:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Samples that a kind of finding needs at least.
 MIN_SAMPLES = {"overall_edge": 200, "country_edge": 100, "style_edge": 75, "weight_class_edge": 100, "statistical_test": 50}
@@ -20,7 +21,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     return F.struct(F.greatest(F.lit(0.0), (centre - half) / whole).alias("lo"), F.least(F.lit(1.0), (centre + half) / whole).alias("hi"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """P(X >= k) of a binomial, summed in log space."""
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringledger.plans import aggregates, joins, projections, scans, windows
+from ringledger.plans import aggregates, domain, joins, ordering, projections, scalars, scans, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [scans.M, projections.M, joins.M, aggregates.M, windows.M]
+MODULES: list = [scans.M, projections.M, joins.M, aggregates.M, windows.M, ordering.M, scalars.M, domain.M]
 
 
 def queries() -> dict[str, Query]:
@@ -28,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    """History features of both sides of every contest, by region."""
+    return domain.flagship(spark, folder)

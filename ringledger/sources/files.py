@@ -18,6 +18,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as parquet into shared storage and read back."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str | None = None, mode: str = "error") -> str:
     path = path or scratch(df.sparkSession)
     df.write.mode(mode).csv(path, header=True)
