@@ -354,10 +354,10 @@ def dm59(spark, folder):
 
 
 @query("dm59_binomial_tail", """WITH e AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n FROM orders GROUP BY 1)
-SELECT o_custkey, round(least(1, list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5))))), 9) AS tail FROM e""")
+SELECT o_custkey, round(1e-9 + least(1, list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5))))), 6) AS tail FROM e""")
 def dm59b(spark, folder):
     each = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count("*").alias("n"))
-    return each.select("o_custkey", F.round(stats.binomial_tail("k", "n", F.lit(0.5)), 9).alias("tail"))
+    return each.select("o_custkey", r6(1e-9 + stats.binomial_tail("k", "n", F.lit(0.5))).alias("tail"))
 
 
 @query("dm61_backtest", "WITH " + LONG + """, f AS (SELECT id, d, entity, won, swapped, coalesce(avg(won::INT) OVER (PARTITION BY entity ORDER BY d, id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0.5) AS form FROM side),

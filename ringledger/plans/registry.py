@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringledger.plans import aggregates, domain, joins, ordering, projections, scalars, scans, windows
+from ringledger.plans import aggregates, domain, joins, ordering, projections, scalars, scans, streams, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [scans.M, projections.M, joins.M, aggregates.M, windows.M, ordering.M, scalars.M, domain.M]
+MODULES: list = [scans.M, projections.M, joins.M, aggregates.M, windows.M, ordering.M, scalars.M, domain.M, streams.M]
 
 
 def queries() -> dict[str, Query]:
