@@ -1,9 +1,10 @@
 """Windows that occur more than once, found exactly without sending every window.
 
-A text is a sequence of symbols (words or bytes); a window is `length` consecutive symbols of one text. The smallest
-hash among the k-grams of a window is its minimiser. Equal windows have equal minimisers, and neighbouring windows
-mostly share one, so a run of windows with one minimiser travels to the minimiser's bucket as one packed string, its
-super-k-mer. There, sorting tells which windows are the same.
+A text is a sequence of symbols (words or bytes); a window is `length` consecutive symbols of one text. The leftmost
+k-gram with the smallest hash is its minimiser. Equal windows have equal minimisers at the same offset, and neighbouring
+windows mostly share one, so a run of windows with their minimiser at one place travels to the minimiser's bucket as
+one packed string, its super-k-mer. There, sorting tells which windows are the same. Equal windows of one text never
+lie in one run, as their minimisers are at different places.
 
 1. Each bundle of texts sends the 32-bit names of its distinct minimisers; a bucket group tells it which of them occur
    elsewhere too. A minimiser that occurs once can't belong to a repeated window.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ringledger.llm.common import U64, bundle_of, mix, parts, runs, split_blobs, text_bytes
 
-#: Windows in one super-k-mer at most; longer runs (periodic text) are cut.
+#: Windows in one super-k-mer at most: the bits of a mask.
 LONGEST_RUN = 64
 NO_ID = np.iinfo(np.int64).max
 
@@ -68,33 +69,31 @@ def find_runs(texts: Texts, length: int, k: int, groups: int) -> Runs:
     n = int(texts.first[-1])
     if n < length:
         return Runs(none, none, none.astype(U64), none, none)
-    low = sliding_min(texts.kgrams, length - k + 1)
+    width = length - k + 1
+    assert width <= LONGEST_RUN, "more windows than a mask has bits"
+    mask = U64((1 << n.bit_length()) - 1)
+    place = sliding_min((texts.kgrams & ~mask) | np.arange(len(texts.kgrams), dtype=U64), width) & mask
     sizes = np.diff(texts.first)
     fits = np.maximum(sizes - length + 1, 0)
     held = np.flatnonzero(fits)
     if not len(held):
         return Runs(none, none, none.astype(U64), none, none)
-    change = np.empty(len(low), bool)
+    change = np.empty(len(place), bool)
     change[0] = True
-    np.not_equal(low[1:], low[:-1], out=change[1:])
+    np.not_equal(place[1:], place[:-1], out=change[1:])
     begin, end = texts.first[held], texts.first[held] + fits[held]
     change[begin] = True
-    inside = np.zeros(len(low) + 1, np.int8)
+    inside = np.zeros(len(place) + 1, np.int8)
     inside[begin] += 1
     np.add.at(inside, end, -1)
     inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-    stop = np.zeros(len(low) + 1, bool)
+    stop = np.zeros(len(place) + 1, bool)
     stop[end] = True
     start = np.flatnonzero(change & inside)
     ends = np.flatnonzero((change & inside) | stop[:-1])
-    ends = np.append(ends, len(low)) if stop[-1] else ends
+    ends = np.append(ends, len(place)) if stop[-1] else ends
     count = ends[np.searchsorted(ends, start, side="right")] - start
-    if len(count) and count.max() > LONGEST_RUN:
-        pieces = -(-count // LONGEST_RUN)
-        rank = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start, left = np.repeat(start, pieces) + rank * LONGEST_RUN, np.repeat(count, pieces) - rank * LONGEST_RUN
-        count = np.minimum(left, LONGEST_RUN)
-    name = mix(low[start])
+    name = mix(texts.kgrams[place[start].astype(np.int64)])
     return Runs(start, count, name, ((name >> U64(32)) % U64(groups)).astype(np.int64), np.searchsorted(texts.first, start, side="right") - 1)
 
 
