@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringledger.llm import decontam, lines, lm, mixing, neardup, quality, sharding, substrings, suffixes, warc
+from ringledger.llm import decontam, lines, lm, mixing, neardup, oracles, quality, sharding, substrings, suffixes, warc
 from ringledger.llm.common import load
 
 
@@ -80,7 +80,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc": oracles.OP1,
+    "op3_substring_dedup": oracles.OP3,
+    "op4_decontamination": oracles.OP4,
+    "op8_quality_rules": oracles.op8(quality.CLOSED, quality.NOISY_WORD, quality.MENU_WORD, quality.NOTICE, quality.FEW_WORDS),
+    "op9_minhash_near_dedup": oracles.OP9,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
