@@ -35,6 +35,36 @@ CANDIDATE = pa.schema([("b", pa.int32()), ("key", pa.binary()), ("doc_id", pa.in
 CANDIDATE_DDL = "b int, key binary, doc_id long, line long, text string, bands array<long>"
 
 
+def shingle_names(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of all shingles of each line (a repeated one repeats), and the n + 1 offsets."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(U64)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    begin = np.cumsum(size) - size
+    count = np.maximum(size - width + 1, 0)
+    names = np.zeros(max(0, len(points) - width + 1), U64)
+    for j in range(width):
+        names = names * U64(0x9E3779B97F4A7C15) + points[j : j + len(names)]
+    n = np.maximum(count, 1)
+    first = np.concatenate(([0], np.cumsum(n)))
+    out = np.empty(first[-1], U64)
+    short = count == 0
+    out[first[:-1][short]] = np.array([xxhash.xxh3_64_intdigest(lines[i].encode()) for i in np.flatnonzero(short).tolist()], U64)
+    place = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    out[np.repeat(~short, n)] = mix(names[place])
+    return out, first
+
+
+def line_sets(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingle_names, each name once a line."""
+    names, first = shingle_names(lines, width)
+    owner = np.repeat(np.arange(len(lines)), np.diff(first))
+    order = np.lexsort((names, owner))
+    names, owner = names[order], owner[order]
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
+    return names[new], np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=len(lines)))))
+
+
 class Lines:
     """The distinct lines of a bundle with the first occurrence of each."""
 
@@ -50,24 +80,10 @@ class Lines:
 
     def bands(self, width: int) -> np.ndarray:
         """n x BANDS hashes."""
-        points = np.frombuffer("".join(self.text).encode("utf-32-le"), np.uint32).astype(U64)
-        size = np.fromiter(map(len, self.text), np.int64, len(self.text))
-        begin = np.cumsum(size) - size
-        count = np.maximum(size - width + 1, 0)
-        names = np.zeros(max(0, len(points) - width + 1), U64)
-        for j in range(width):
-            names = names * U64(0x9E3779B97F4A7C15) + points[j : j + len(names)]
-        whole = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x, c in zip(self.text, count.tolist(), strict=True) if not c], U64)
-        n = np.maximum(count, 1)
-        first = np.concatenate(([0], np.cumsum(n)))
-        out = np.empty(first[-1], U64)
-        short = count == 0
-        out[first[:-1][short]] = whole
-        place = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        out[np.repeat(~short, n)] = mix(names[place])
+        out, first = shingle_names(self.text, width)
         made = [np.zeros((0, BANDS), U64)]
-        for a in range(0, len(size), 4000):  # bounds the signatures held at once
-            b = min(a + 4000, len(size))
+        for a in range(0, len(self.text), 4000):  # bounds the signatures held at once
+            b = min(a + 4000, len(self.text))
             made.append(minhash.bands(minhash.signatures(out[first[a] : first[b]], first[a : b + 1] - first[a], ROWS * BANDS), ROWS))
         return np.concatenate(made)
 
@@ -136,7 +152,9 @@ def dedup(docs: DataFrame, width: int = 8, threshold: int = 80, id_col: str = "d
     members = lines.select(F.col("key").alias("node"), F.explode("bands").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select(F.col("bucket").alias("_b"))
     members = stored(members.join(crowded, F.col("bucket") == F.col("_b"), "left_semi"))
-    roots = resolve(members, lambda pairs: confirm(pairs, lines, width, threshold))
+    text_size = int(lines.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    texts = lines.select(F.col("key").alias("node"), F.col("text").alias("payload"))
+    roots = resolve(members.select("bucket", "node"), texts, lambda x: line_sets(x.to_pylist(), width), text_size, threshold, lambda pairs: confirm(pairs, lines, width, threshold))
     named = lines.select("key", "at").join(roots.select(F.col("node").alias("_n"), "root"), F.col("key") == F.col("_n"), "left").select("key", "at", F.coalesce("root", "key").alias("root"))
     stays = named.groupBy("root").agg(F.min("at").alias("first"))
     verdict = named.join(stays, "root").select(F.col("key").alias("_k"), "first")

@@ -5,8 +5,7 @@ Documents are linked if their sets' Jaccard similarity is at least `threshold` p
 stand for all their rows. Buckets of equal bands give star-shaped candidate pairs (stars.py), every candidate link is
 confirmed on the full sets, and components are found by star contraction.
 
-Recall: 32 bands of 5 bins miss a pair at exactly 80 % with a chance of 3e-6, less above; a pair whose two documents
-are in one component by other links needs no test.
+Recall: 32 bands of 5 bins miss a pair at exactly 80 % with a chance of 3e-6, less above.
 
 Defined cases: a document without words has an empty set and is its own component; equal sets are linked; repeated
 rows of one id stand or fall together; a row without an id joins the component of an equal set but is never kept for
@@ -48,6 +47,12 @@ def shingle_sets(table: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndar
     return np.concatenate(each), np.array(first, np.int64)
 
 
+def packed_sets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Members and offsets of packed sets."""
+    flat, at = raw_strings(column)
+    return np.frombuffer(flat.tobytes(), U64), at // 8
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit name of the set; null if empty), bands."""
 
@@ -65,7 +70,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, members (packed sorted names) for the nodes (node, set_key)."""
-    wanted = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    # always by shuffle: the list of nodes grows with the input, and texts are dealt out once at any size
+    wanted = docs.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -104,7 +110,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
     crowded = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select(F.col("bucket").alias("_b"))
     members = stored(members.join(crowded, F.col("bucket") == F.col("_b"), "left_semi"))
     sets = stored(full_sets(slim, members.select("node", "set_key").distinct(), width))
-    roots = resolve(members.select("bucket", "node").distinct(), lambda pairs: confirm(pairs, sets, threshold))
+    payload = sets.withColumnRenamed("members", "payload")
+    size = int(sets.agg(F.sum(F.octet_length("members"))).first()[0] or 0)
+    roots = resolve(members.select("bucket", "node").distinct(), payload, packed_sets, size, threshold, lambda pairs: confirm(pairs, sets, threshold))
     named = sketched.drop("bands").join(nodes.select(F.col("set_key").alias("_k"), "node"), F.col("set_key") == F.col("_k"), "left").drop("_k")
     named = named.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left")
     component = F.coalesce("root", "node", "doc_id")
