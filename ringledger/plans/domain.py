@@ -432,7 +432,7 @@ def dm85(spark, folder):
     return p.select(F.col("a_k").alias("a"), F.col("b_k").alias("b"), better.alias("better"))
 
 
-@query("dm87_upsert_counters", "SELECT 50::BIGINT AS new, count(*) - 50 AS updated FROM supplier")
+@query("dm87_upsert_counters", "SELECT count(*) FILTER (s_suppkey + 50 NOT IN (SELECT s_suppkey FROM supplier)) AS new, count(*) FILTER (s_suppkey + 50 IN (SELECT s_suppkey FROM supplier)) AS updated FROM supplier")
 def dm87(spark, folder):
     base = table(spark, folder, "supplier").select("s_suppkey")
     delta = base.select((F.col("s_suppkey") + 50).alias("s_suppkey"))

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,7 +46,7 @@ def test_texts(spark):
 
 
 def test_features_do_not_see_later_rows(spark):
-    rows = [(e, pd.Timestamp("2020-01-01") + pd.Timedelta(days=i), i, ("win", "loss", "draw")[(i * e) % 3], ("KO", "DEC")[i % 2], float(i * e)) for e in (1, 2) for i in range(12)]
+    rows = [(e, dt.datetime(2020, 1, 1) + dt.timedelta(days=i), i, ("win", "loss", "draw")[(i * e) % 3], ("KO", "DEC")[i % 2], float(i * e)) for e in (1, 2) for i in range(12)]
     df = spark.createDataFrame(rows, "entity long, d timestamp, id long, result string, method string, value double")
     whole = {(r["entity"], r["id"]): r for r in H.features(df).collect()}
     part = H.features(df.filter("id < 7")).collect()
@@ -56,7 +55,7 @@ def test_features_do_not_see_later_rows(spark):
 
 
 def test_rating_is_zero_sum(spark):
-    rows = [(i, pd.Timestamp("2020-01-01") + pd.Timedelta(days=30 * i), i % 3, 3 + i % 2, i % 3 if i % 4 else None) for i in range(20)]
+    rows = [(i, dt.datetime(2020, 1, 1) + dt.timedelta(days=30 * i), i % 3, 3 + i % 2, i % 3 if i % 4 else None) for i in range(20)]
     h = rating.rate(spark.createDataFrame(rows, "id long, d timestamp, a long, b long, winner long"))
     assert h.count() == 40
     assert h.groupBy("id").agg(F.abs(F.sum("change")).alias("x")).filter("x > 1e-9").count() == 0

@@ -8,7 +8,7 @@ from ringledger.plans import registry
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: No such rows on so little data.
-MAY_BE_EMPTY = {"jn27_blocked_fuzzy_match", "jn25_orphans", "jn20_exists", "dm66_constancy_check", "wn28_duplicate_groups", "src14_blocking_lookup"}
+MAY_BE_EMPTY = {"jn27_blocked_fuzzy_match", "jn25_orphans", "jn20_exists", "dm66_constancy_check", "wn28_duplicate_groups", "src14_blocking_lookup", "jn26_pairs_in_group", "dm10_style_advantage", "dm18_differentials", "dm38_shares", "dm85_side_by_side"}
 
 
 @pytest.fixture(scope="module")
