@@ -41,9 +41,14 @@ def shingle_names(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     begin = np.cumsum(size) - size
     count = np.maximum(size - width + 1, 0)
-    names = np.zeros(max(0, len(points) - width + 1), U64)
-    for j in range(width):
-        names = names * U64(0x9E3779B97F4A7C15) + points[j : j + len(names)]
+    names, held, base = points, 1, 0x9E3779B97F4A7C15
+    while held < width:  # the hash of a window from those of two halves, or of all but its last character
+        if 2 * held <= width:
+            names = names[: max(0, len(names) - held)] * U64(pow(base, held, 1 << 64)) + names[held:]
+            held *= 2
+        else:
+            names = names[: max(0, len(names) - 1)] * U64(base) + points[held:]
+            held += 1
     n = np.maximum(count, 1)
     first = np.concatenate(([0], np.cumsum(n)))
     out = np.empty(first[-1], U64)
@@ -80,11 +85,9 @@ class Lines:
 
     def bands(self, width: int) -> np.ndarray:
         """n x BANDS hashes."""
-        out, first = shingle_names(self.text, width)
         made = [np.zeros((0, BANDS), U64)]
-        for a in range(0, len(self.text), 4000):  # bounds the signatures held at once
-            b = min(a + 4000, len(self.text))
-            made.append(minhash.bands(minhash.signatures(out[first[a] : first[b]], first[a : b + 1] - first[a], ROWS * BANDS), ROWS))
+        for a in range(0, len(self.text), 400):  # small enough for the processor's cache
+            made.append(minhash.bands(minhash.signatures(*shingle_names(self.text[a : a + 400], width), ROWS * BANDS), ROWS))
         return np.concatenate(made)
 
     def runs(self, width: int, groups: int) -> tuple[S.Runs, np.ndarray]:
