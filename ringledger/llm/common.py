@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,13 @@ def raw_strings(array: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
     return flat, at - at[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, which bounds what a worker holds beside a batch."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def split_blobs(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
     """`values` cut at the given n + 1 places, each piece as bytes."""
     data, width = values.tobytes(), values.dtype.itemsize

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringledger.llm.common import U64, raw_strings
+from ringledger.llm.common import U64, raw_strings, slices
 
 #: Bytes of item text in one block of the benchmark.
 BLOCK_BYTES = 4_000_000
@@ -203,7 +203,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
 
     def run(batches):
         matchers = [x.value for x in shared]
-        for batch in batches:
+        for batch in slices(batches):
             n_words, spans, items = scan(batch.column(1), matchers)
             hit = [sum(b - a for a, b in x) for x in spans]
             bad = [is_contaminated(n, h) for n, h in zip(n_words, hit, strict=True)]
@@ -220,7 +220,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, t
 
     def run(batches):
         matchers = [x.value for x in shared]
-        for batch in batches:
+        for batch in slices(batches):
             n_words, spans, _ = scan(batch.column(at), matchers)
             good = [not is_contaminated(n, sum(b - a for a, b in x)) for n, x in zip(n_words, spans, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringledger.llm import minhash
-from ringledger.llm.common import U64, mix, raw_strings, stored
+from ringledger.llm.common import U64, mix, raw_strings, slices, stored
 from ringledger.llm.stars import resolve
 
 ROWS, BANDS = 5, 32
@@ -57,7 +57,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit name of the set; null if empty), bands."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             members, first = shingle_sets(batch.column(1), width)
             cuts = first.tolist()
             keys = [xxhash.xxh3_128_digest(members[a:b].tobytes()) if b > a else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -74,7 +74,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     wanted = docs.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             members, first = shingle_sets(batch.column(1), width)
             cuts = first.tolist()
             packed = [members[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -90,7 +90,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     wide = wide.filter(F.lit(100) * F.least(F.octet_length("x"), F.octet_length("y")) >= F.lit(threshold) * F.greatest(F.octet_length("x"), F.octet_length("y")))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringledger.llm.common import raw_strings
+from ringledger.llm.common import raw_strings, slices
 
 SYMBOLS = b"#*$%&|<>"
 #: Fixed patterns, the same for Python and DuckDB.
@@ -72,10 +72,12 @@ def judge(table: pa.Table) -> pa.Table:
     symbol, blank = np.zeros(256, bool), np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
     blank[[0x20, *range(0x09, 0x0E)]] = True
-    counts = []
+    counts, held = [], np.flatnonzero(np.diff(at))
     for marks in (symbol[flat], ~blank[flat] & ((flat & 0xC0) != 0x80)):
-        total = np.concatenate(([0], np.cumsum(marks)))
-        counts.append(total[at[1:]] - total[at[:-1]])
+        count = np.zeros(len(at) - 1, np.int64)
+        if len(held):
+            count[held] = np.add.reduceat(marks.view(np.uint8), at[held], dtype=np.int64)
+        counts.append(count)
     data, rows = flat.tobytes(), []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         raw = data[a:b]
@@ -107,7 +109,7 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     keep = len(OUT) if with_text else len(OUT) - 1
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield from judge(pa.Table.from_batches([batch])).select(range(keep)).to_batches()
 
     return slim.mapInArrow(run, ", ".join(DDL.split(", ")[:keep]))
@@ -120,7 +122,7 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_ch
     other = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             table = pa.Table.from_batches([batch])
             found = judge(pa.table({"doc_id": pa.nulls(len(table), pa.int64()), "text": table.column(at)}))
             changed = pa.compute.greater(found["n_lines_removed"], 0)
