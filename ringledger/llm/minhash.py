@@ -12,6 +12,8 @@ import numpy as np
 from ringledger.llm.common import U64, mix
 
 EMPTY = np.iinfo(np.uint64).max
+#: Of a value that competes for a bin.
+VALUE_BITS = 40
 
 
 def places(bins: int, attempt: int) -> np.ndarray:
@@ -22,11 +24,18 @@ def places(bins: int, attempt: int) -> np.ndarray:
 def signatures(hashes: np.ndarray, first: np.ndarray, bins: int) -> np.ndarray:
     """A row of `bins` values for each set; set i has the members hashes[first[i] : first[i + 1]]. Empty sets get EMPTY."""
     n = len(first) - 1
+    assert n * bins < 1 << (64 - VALUE_BITS), "too many sets at once"
     out = np.full(n * bins, EMPTY)
-    owner = np.repeat(np.arange(n), np.diff(first))
     spread = mix(hashes ^ U64(0x5851F42D4C957F2D))
-    place = ((spread >> U64(32)) * U64(bins)) >> U64(32)
-    np.minimum.at(out, owner * bins + place.astype(np.int64), mix(spread))
+    slot = ((spread >> U64(32)) * U64(bins)) >> U64(32)
+    slot += np.repeat(np.arange(n, dtype=U64) * U64(bins), np.diff(first))
+    # bin and value in one integer: a plain sort brings each bin's smallest value to the front
+    both = (slot << U64(VALUE_BITS)) | (spread & U64((1 << VALUE_BITS) - 1))
+    both.sort()
+    slot = both >> U64(VALUE_BITS)
+    heads = np.ones(len(slot), bool)
+    np.not_equal(slot[1:], slot[:-1], out=heads[1:])
+    out[slot[heads].astype(np.int64)] = both[heads] & U64((1 << VALUE_BITS) - 1)
     out = out.reshape(n, bins)
     own = out != EMPTY
     row, column = np.nonzero(~own & own.any(axis=1)[:, None])
