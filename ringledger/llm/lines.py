@@ -8,8 +8,10 @@ occurrence with the smallest (doc_id, line number) stays; equal lines are one li
 Most lines have no relative: each bundle of documents first asks by 32-bit names which of its bands occur elsewhere or
 twice (superkmers.ask and answer), so that only lines with a shared band travel with their text, once a bundle.
 
-Recall: 20 bands of 4 bins miss a pair at exactly 80 % with a chance of 3e-5. Shingles of eight characters: shorter
-ones are shared by chance so often that buckets would fill with unrelated lines as the input grows.
+Recall: 40 bands of 6 bins would miss a pair at exactly 80 % with a chance of 5e-6 if they shared no bins; here 120
+bins are dealt twice, the second time in another order. The query takes shingles of five characters: one changed
+character costs five of them, so that a line of 49 characters or more still reaches 80 %. They are shared by chance
+more often than longer ones; six bins a band keep unrelated lines out of the buckets.
 
 Defined cases: a null text has no lines and stays null; repeated rows of one id count as copies: of lines with equal
 (doc_id, line number) all stay; a row without an id counts as the last; other columns are ignored; no rows give no rows.
@@ -28,7 +30,8 @@ from ringledger.llm import superkmers as S
 from ringledger.llm.common import U64, bundle_of, mix, parts, stored, text_bytes
 from ringledger.llm.stars import resolve
 
-ROWS, BANDS = 4, 20
+ROWS, BINS, DEALS = 6, 120, 2
+BANDS = DEALS * BINS // ROWS
 BLANK = "\x20\t\n\x0b\x0c\r"
 
 CANDIDATE = pa.schema([("b", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int64()), ("text", pa.string()), ("bands", pa.list_(pa.int64()))])
@@ -61,13 +64,24 @@ def shingle_names(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]
 
 def line_sets(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """As shingle_names, each name once a line."""
-    names, first = shingle_names(lines, width)
-    owner = np.repeat(np.arange(len(lines)), np.diff(first))
-    order = np.lexsort((names, owner))
-    names, owner = names[order], owner[order]
-    new = np.ones(len(names), bool)
-    new[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
-    return names[new], np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=len(lines)))))
+    found, sizes = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
+    for a in range(0, len(lines), 400):  # small enough for the processor's cache
+        part = lines[a : a + 400]
+        names, first = shingle_names(part, width)
+        owner = np.repeat(np.arange(len(part)), np.diff(first))
+        order = np.lexsort((names, owner))
+        names, owner = names[order], owner[order]
+        new = np.ones(len(names), bool)
+        new[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
+        found.append(names[new])
+        sizes.append(np.bincount(owner[new], minlength=len(part)))
+    return np.concatenate(found), np.cumsum(np.concatenate(sizes))
+
+
+def dealt_bands(signature: np.ndarray) -> np.ndarray:
+    """n x BANDS hashes: the bins in order, then in other fixed orders."""
+    orders = [np.argsort(mix(np.arange(BINS, dtype=U64) + U64(1000 * k))) if k else np.arange(BINS) for k in range(DEALS)]
+    return np.concatenate([mix(minhash.bands(signature[:, x], ROWS) + U64(k)) for k, x in enumerate(orders)], axis=1)
 
 
 class Lines:
@@ -87,7 +101,7 @@ class Lines:
         """n x BANDS hashes."""
         made = [np.zeros((0, BANDS), U64)]
         for a in range(0, len(self.text), 400):  # small enough for the processor's cache
-            made.append(minhash.bands(minhash.signatures(*shingle_names(self.text[a : a + 400], width), ROWS * BANDS), ROWS))
+            made.append(dealt_bands(minhash.signatures(*shingle_names(self.text[a : a + 400], width), BINS)))
         return np.concatenate(made)
 
     def runs(self, width: int, groups: int) -> tuple[S.Runs, np.ndarray]:

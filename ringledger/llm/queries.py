@@ -62,7 +62,7 @@ def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = lines.dedup(load(spark, folder, "documents"), width=8, threshold=80)
+    rows = lines.dedup(load(spark, folder, "documents"), width=5, threshold=80)
     kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     return rows.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
 
