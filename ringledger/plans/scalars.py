@@ -17,7 +17,7 @@ MARKS = f"translate(lower(x), '{T.MARKED}', '{T.PLAIN}')"
 
 @query("fn1_plain_name", f"SELECT doc_id, trim(regexp_replace(trim(regexp_replace({MARKS}, '\\s+', ' ', 'g')), ' (jr|sr|ii|iii|iv)\\.?$', '')) AS name FROM (SELECT doc_id, left(text, 40) || ' Jr.' AS x FROM documents)")
 def fn1(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", T.plain_name(F.concat(F.left("text", F.lit(40)), F.lit(" Jr."))).alias("name"))
+    return table(spark, folder, "documents").select("doc_id", T.plain_name(F.concat("text", F.lit(" Jr."))).alias("name"))
 
 
 @query("fn4_fuzzy_name", "SELECT count(*) FILTER (abs(length(x) - length(y)) <= 2 AND levenshtein(x, y) <= 2 OR contains(x, y) OR contains(y, x)) AS n FROM (SELECT lower(c_name) AS x, lower('Customer#' || lpad(CAST(c_custkey + c_custkey % 200 AS VARCHAR), 9, '0')) AS y FROM customer)")
@@ -71,7 +71,7 @@ def fn16(spark, folder):
 
 @query("fn17_clean_text", "SELECT doc_id, trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g')) AS clean, TRY_CAST(regexp_extract(text, '(\\d+)', 1) AS INT) AS number FROM documents")
 def fn17(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", T.squeezed(F.left("text", F.lit(200))).alias("clean"), F.regexp_extract("text", r"(\d+)", 1).try_cast("int").alias("number"))
+    return table(spark, folder, "documents").select("doc_id", T.squeezed(F.col("text")).alias("clean"), F.regexp_extract("text", r"(\d+)", 1).try_cast("int").alias("number"))
 
 
 @query("fn19_year_in_text", "SELECT o_orderkey, regexp_extract('on ' || strftime(o_orderdate, '%d.%m.%Y'), '((?:19|20)\\d\\d)', 1)::INT AS year FROM orders")
