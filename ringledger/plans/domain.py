@@ -64,18 +64,17 @@ def dm3b(spark, folder):
 step(n, r) AS (SELECT 0::BIGINT, 1500.0::DOUBLE UNION ALL SELECT e.n, r + 32 * (won::INT - 1 / (1 + pow(10, (1500 - r) / 400))) FROM step JOIN e ON e.n = step.n + 1)
 SELECT n, round(r, 6) AS rating FROM step WHERE n > 0""")
 def dm3c(spark, folder):
-    """One player against a fixed opponent: the sequential kernel beside a recursive query."""
-    e = table(spark, folder, "events").filter("user_id = 7")
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    seq = e.withColumn("n", n.cast("long")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("n", (F.col("event_type") == "purchase").cast("int").alias("won")))).alias("s"))
-    zero = F.array(F.lit(1500.0))
-
-    def step(acc, x):
-        r = F.element_at(acc, -1)
-        return F.concat(acc, F.array(r + 32 * (x["won"] - 1 / (1 + F.pow(F.lit(10.0), (1500 - r) / 400)))))
-
-    path = seq.select(F.posexplode(F.aggregate("s", zero, step)).alias("n", "rating"))
-    return path.filter("n > 0").select(F.col("n").cast("long").alias("n"), r6("rating").alias("rating"))
+    """Every player against a fixed opponent: the sequential kernel, a linear pass over each player's events."""
+
+    def path(rows):
+        rows, r, out = rows.sort_values(["ts", "event_id"]), 1500.0, []
+        for won in rows["won"]:
+            r += 32 * (won - 1 / (1 + 10 ** ((1500 - r) / 400)))
+            out.append(r)
+        return rows[["user_id"]].assign(n=range(1, len(rows) + 1), rating=out)
+
+    e = table(spark, folder, "events").select("user_id", "ts", "event_id", (F.col("event_type") == "purchase").cast("int").alias("won"))
+    return e.groupBy("user_id").applyInPandas(path, "user_id long, n long, rating double").select("user_id", "n", r6("rating").alias("rating"))
 
 
 @query("dm4_enhanced_expectation", "WITH " + RATED + " SELECT id, round(greatest(0.05, least(0.95, p + 0.5 * ((na - nb) / 100.0::DOUBLE + (ra - rb) * 0.0005))), 6) AS e FROM q")
