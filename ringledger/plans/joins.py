@@ -89,7 +89,7 @@ def jn15(spark, folder):
 @query("jn16_two_tiers", "SELECT s_suppkey, coalesce(c.c_acctbal, n.b, 1500.0::DOUBLE) AS rating FROM supplier LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON s_suppkey = c_custkey LEFT JOIN (SELECT c_nationkey, max(c_acctbal) AS b FROM customer WHERE c_nationkey < 10 GROUP BY 1) n ON s_nationkey = n.c_nationkey")
 def jn16(spark, folder):
     c = table(spark, folder, "customer")
-    by_key = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_acctbal").alias("x"))
+    by_key = c.filter("c_acctbal > 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_acctbal").alias("x"))
     by_nation = c.filter("c_nationkey < 10").groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.max("c_acctbal").alias("y"))
     return table(spark, folder, "supplier").join(by_key, "s_suppkey", "left").join(by_nation, "s_nationkey", "left").select("s_suppkey", F.coalesce("x", "y", F.lit(1500.0)).alias("rating"))
 
@@ -163,8 +163,8 @@ q AS (SELECT s_suppkey AS k, -1.0::DOUBLE AS balance, CASE WHEN s_nationkey > 5
 SELECT coalesce(p.k, q.k) AS k, coalesce(p.balance, q.balance) AS balance, coalesce(q.nation, p.nation) AS nation, CASE WHEN q.k IS NULL THEN 'primary' WHEN p.k IS NULL THEN 'secondary' ELSE 'both' END AS origin FROM p FULL JOIN q ON p.k = q.k""")
 def jn28(spark, folder):
     s = table(spark, folder, "supplier")
-    p = s.filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("balance"), F.col("s_nationkey").alias("nation"))
-    q = s.filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("k"), F.lit(-1.0).alias("balance"), F.when(F.col("s_nationkey") > 5, F.col("s_nationkey") + 100).alias("nation"))
+    p = s.filter("s_acctbal < 5000").select(F.col("s_suppkey").alias("k"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("balance"), F.col("s_nationkey").alias("nation"))
+    q = s.filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("k"), F.lit(-1.0).alias("balance"), F.when(F.col("s_nationkey") > 5, F.col("s_nationkey") + 100).alias("nation"))
     return keyed.merge_sources(p, q, "k", ["balance"], ["nation"])
 
 

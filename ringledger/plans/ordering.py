@@ -127,8 +127,8 @@ def st8(spark, folder):
 
 @query("st9_dictionary_merge", "WITH x AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier WHERE s_suppkey < 60), y AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey BETWEEN 40 AND 90) SELECT coalesce(x.k, y.k) AS k, coalesce(y.v, x.v) AS v FROM x FULL JOIN y ON x.k = y.k")
 def st9(spark, folder):
-    x = table(spark, folder, "supplier").filter("s_suppkey < 60").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("x"))
-    y = table(spark, folder, "customer").filter("c_custkey between 40 and 90").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("y"))
+    x = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("x"))
+    y = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("y"))
     return x.join(y, "k", "full_outer").select("k", F.coalesce("y", "x").alias("v"))
 
 
