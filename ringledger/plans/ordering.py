@@ -83,7 +83,7 @@ def so13(spark, folder):
     from ringledger.operators import stats
 
     rows = predictions(spark, folder).withColumn("hit", ((F.col("p") >= 0.6) == F.col("won")).cast("double"))
-    return stats.bootstrap(rows, "hit", "id", replicates=50)
+    return stats.bootstrap(rows, "hit", "id", replicates=1000)
 
 
 @query("st1_union_of_sides", "WITH " + LONG + " SELECT entity, count(*) AS n, count(*) FILTER (won) AS wins FROM side GROUP BY 1")
