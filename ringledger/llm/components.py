@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ringledger.llm.common import stored
 
 
-def _star(links: DataFrame, keep_equal: bool) -> DataFrame:
+def _star(links: DataFrame) -> DataFrame:
     """links: u, v. Gives (v, m) with m the smallest of u and its v's."""
     least = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("m", "u").alias("m"))
     return links.join(least, F.col("u") == F.col("_u")).select("u", "v", "m")
@@ -21,13 +21,12 @@ def _star(links: DataFrame, keep_equal: bool) -> DataFrame:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node of its component) for every node of a link. Nodes are of any type that can be ordered."""
-    spark = links.sparkSession
     now = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct())
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, False).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        small = _star(large, True)
+        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        small = _star(large)
         hooked = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = stored(hooked.filter("u != v").distinct())
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -35,5 +34,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         seen = state
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    assert spark is now.sparkSession
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -2,16 +2,23 @@
 
 Lines are split at line feeds; lines without a word always stay. The distinct shingles of `width` characters of a line
 (a shorter line as a whole) give a one-permutation MinHash signature, and its bands the buckets. Pairs of a bucket are
-verified by their exact Jaccard similarity, links make components (stars.py, components.py), and of each component the
+verified by their exact Jaccard similarity, links make components (components.py), and of each component the
 occurrence with the smallest (doc_id, line number) stays; equal lines are one line with several occurrences.
 
-Most lines have no relative: each bundle of documents first asks by 32-bit names which of its bands occur elsewhere or
-twice (superkmers.ask and answer), so that only lines with a shared band travel with their text, once a bundle.
+1. Equal lines: each bundle of documents asks by 64-bit names which of its lines other bundles have too; the first
+   bundle of a line represents it. (Two lines whose names agree by chance stay lines of their own.)
+2. Most lines have no other relative: bundles ask by 32-bit names which bands of the lines they represent occur elsewhere
+   or twice (superkmers.ask and answer), so that only lines with a shared band travel with their text, once.
+3. Buckets with the same members count once. Buckets of up to SMALL lines are dealt into chunks by their smallest member, so that the buckets of one family meet
+   and a text travels once a chunk. A chunk counts the common shingles of each pair once, writes no pairs, and gives
+   the links of a spanning forest. A line is in BANDS buckets at most, which bounds its partners here.
+4. Larger buckets hold families of edited copies; stars.py finds their links without looking at all pairs.
 
 Recall: 40 bands of 6 bins would miss a pair at exactly 80 % with a chance of 5e-6 if they shared no bins; here 120
 bins are dealt twice, the second time in another order. The query takes shingles of five characters: one changed
 character costs five of them, so that a line of 49 characters or more still reaches 80 %. They are shared by chance
-more often than longer ones; six bins a band keep unrelated lines out of the buckets.
+more often than longer ones; six bins a band keep unrelated lines out of the buckets. Shingles are compared by names
+of 52 bits; two of one pair agree by chance once in 1e10 pairs.
 
 Defined cases: a null text has no lines and stays null; repeated rows of one id count as copies: of lines with equal
 (doc_id, line number) all stay; a row without an id counts as the last; other columns are ignored; no rows give no rows.
@@ -19,6 +26,8 @@ Defined cases: a null text has no lines and stays null; repeated rows of one id
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,57 +36,76 @@ from pyspark.sql import functions as F
 
 from ringledger.llm import minhash
 from ringledger.llm import superkmers as S
-from ringledger.llm.common import U64, bundle_of, mix, parts, stored, text_bytes
+from ringledger.llm.common import U64, bundle_of, mix, parts, split_blobs, stored, text_bytes
+from ringledger.llm.components import components
 from ringledger.llm.stars import resolve
 
 ROWS, BINS, DEALS = 6, 120, 2
 BANDS = DEALS * BINS // ROWS
 BLANK = "\x20\t\n\x0b\x0c\r"
+#: Lines of a bucket that is tested pair by pair in one task.
+SMALL = 64
+#: Bits of a shingle's name, and names that are compared at once.
+NAME_BITS, AT_ONCE = 52, 200_000
 
+SAME_ASK = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("names", pa.binary())])
+SAME_ANSWER = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("bits", pa.binary()), ("mine", pa.binary())])
 CANDIDATE = pa.schema([("b", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int64()), ("text", pa.string()), ("bands", pa.list_(pa.int64()))])
 CANDIDATE_DDL = "b int, key binary, doc_id long, line long, text string, bands array<long>"
 
 
-def shingle_names(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit names of all shingles of each line (a repeated one repeats), and the n + 1 offsets."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(U64)
+def window_names(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name for the window that starts at each character of the joined lines, and the number of its line.
+
+    Where no window starts, the number is len(lines). A shorter line is a window as a whole.
+    """
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    begin = np.cumsum(size) - size
-    count = np.maximum(size - width + 1, 0)
-    names, held, base = points, 1, 0x9E3779B97F4A7C15
+    end = np.cumsum(size)
+    names = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(U64)
+    total, held, base = len(names), 1, 0x9E3779B97F4A7C15
+    points = names
     while held < width:  # the hash of a window from those of two halves, or of all but its last character
-        if 2 * held <= width:
-            names = names[: max(0, len(names) - held)] * U64(pow(base, held, 1 << 64)) + names[held:]
-            held *= 2
-        else:
-            names = names[: max(0, len(names) - 1)] * U64(base) + points[held:]
-            held += 1
-    n = np.maximum(count, 1)
-    first = np.concatenate(([0], np.cumsum(n)))
-    out = np.empty(first[-1], U64)
-    short = count == 0
-    out[first[:-1][short]] = np.array([xxhash.xxh3_64_intdigest(lines[i].encode()) for i in np.flatnonzero(short).tolist()], U64)
-    place = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    out[np.repeat(~short, n)] = mix(names[place])
-    return out, first
+        step = held if 2 * held <= width else 1
+        more = names[step:] if step == held else points[held:]
+        names = names[: max(0, len(names) - step)] * U64(pow(base, step, 1 << 64)) + more
+        held += step
+    out = np.zeros(total, U64)
+    out[: len(names)] = names
+    owner = np.repeat(np.arange(len(lines)), size)
+    for j in range(1, width):
+        owner[end[size >= j] - j] = len(lines)
+    out = mix(out)
+    for i in np.flatnonzero((size > 0) & (size < width)).tolist():
+        out[end[i] - size[i]], owner[end[i] - size[i]] = xxhash.xxh3_64_intdigest(lines[i].encode()), i
+    return out, owner
 
 
 def line_sets(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """As shingle_names, each name once a line."""
+    """The distinct shingles of each line as sorted names of NAME_BITS bits, and the n + 1 offsets."""
     found, sizes = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
     for a in range(0, len(lines), 400):  # small enough for the processor's cache
         part = lines[a : a + 400]
-        names, first = shingle_names(part, width)
-        owner = np.repeat(np.arange(len(part)), np.diff(first))
-        order = np.lexsort((names, owner))
-        names, owner = names[order], owner[order]
-        new = np.ones(len(names), bool)
-        new[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
-        found.append(names[new])
-        sizes.append(np.bincount(owner[new], minlength=len(part)))
+        names, owner = window_names(part, width)
+        both = (owner.astype(U64) << U64(NAME_BITS)) | (names >> U64(64 - NAME_BITS))
+        both = both[owner < len(part)]
+        both.sort()
+        new = np.ones(len(both), bool)
+        np.not_equal(both[1:], both[:-1], out=new[1:])
+        both = both[new]
+        found.append(both & U64((1 << NAME_BITS) - 1))
+        sizes.append(np.bincount((both >> U64(NAME_BITS)).astype(np.int64), minlength=len(part)))
     return np.concatenate(found), np.cumsum(np.concatenate(sizes))
 
 
+def signatures(lines: list[str], width: int) -> np.ndarray:
+    out = np.zeros((len(lines), BINS), np.uint32)
+    for a in range(0, len(lines), 400):
+        part = lines[a : a + 400]
+        names, owner = window_names(part, width)
+        out[a : a + 400] = minhash.least_values(names, owner, len(part) + 1, BINS)[:-1]
+    return minhash.densify(out)
+
+
 def dealt_bands(signature: np.ndarray) -> np.ndarray:
     """n x BANDS hashes: the bins in order, then in other fixed orders."""
     orders = [np.argsort(mix(np.arange(BINS, dtype=U64) + U64(1000 * k))) if k else np.arange(BINS) for k in range(DEALS)]
@@ -97,33 +125,58 @@ class Lines:
         self.text = sorted(first)
         self.at = [first[x] for x in self.text]
 
-    def bands(self, width: int) -> np.ndarray:
-        """n x BANDS hashes."""
-        made = [np.zeros((0, BANDS), U64)]
-        for a in range(0, len(self.text), 400):  # small enough for the processor's cache
-            made.append(dealt_bands(minhash.signatures(*shingle_names(self.text[a : a + 400], width), BINS)))
-        return np.concatenate(made)
-
-    def runs(self, width: int, groups: int) -> tuple[S.Runs, np.ndarray]:
-        """Bands in the form that superkmers.ask takes; `owner` is the line."""
-        bands = self.bands(width)
+    def names(self, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A 64-bit name of each line, its group, and the order of (group, name)."""
+        name = np.frombuffer(b"".join(map(key_of, self.text)), np.uint64)[::2]
+        group = ((name >> U64(32)) % U64(groups)).astype(np.int64)
+        return name, group, np.lexsort((name, group))
+
+    def ask_same(self, bundle: int, groups: int) -> pa.Table:
+        name, group, order = self.names(groups)
+        cuts = S.runs(group[order])
+        heads = group[order][cuts[:-1]]
+        return pa.table([pa.array(heads, pa.int32()), pa.array(np.full(len(heads), bundle), pa.int32()), pa.array(split_blobs(name[order], cuts), pa.binary())], schema=SAME_ASK)
+
+    def told_same(self, groups: int, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Which lines other bundles have too, and which this one represents."""
+        _, group, order = self.names(groups)
+        out = np.zeros((2, len(order)), bool)
+        out[:, order] = [S.told_bits(group[order], answers, x) for x in ("bits", "mine")]
+        return out[0], out[1]
+
+    def runs(self, pick: np.ndarray, width: int, groups: int) -> tuple[S.Runs, np.ndarray]:
+        """Bands of the chosen lines in the form that superkmers.ask takes; `owner` is the line."""
+        bands = dealt_bands(signatures([self.text[i] for i in pick.tolist()], width))
         name = bands.ravel()
         none = np.zeros(0, np.int64)
-        return S.Runs(none, none, name, ((name >> U64(32)) % U64(groups)).astype(np.int64), np.repeat(np.arange(len(bands)), BANDS)), bands
+        return S.Runs(none, none, name, ((name >> U64(32)) % U64(groups)).astype(np.int64), np.repeat(pick, BANDS)), bands
 
-    def candidates(self, bundle: int, width: int, groups: int, answers: pa.Table) -> pa.Table:
-        found, bands = self.runs(width, groups)
+    def candidates(self, bundle: int, width: int, groups: int, same: pa.Table, answers: pa.Table) -> pa.Table:
+        """The represented lines with a shared band, with text and those bands, and the bare keys of lines that other bundles have too."""
+        shared, mine = self.told_same(groups, same)
+        pick = np.flatnonzero(mine)
+        found, bands = self.runs(pick, width, groups)
         group, _, place, _ = S.names_by_group(found)
-        shared = np.zeros(len(group), bool)
-        for g, bits in zip(answers["g"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-            a, b = np.searchsorted(group, [g, g + 1])
-            shared[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        hot = shared[place].reshape(bands.shape) if len(place) else np.zeros(bands.shape, bool)
-        rows = np.flatnonzero(hot.any(axis=1)).tolist()
-        text = [self.text[i] for i in rows]
+        hot = S.told_bits(group, answers)[place].reshape(bands.shape) if len(place) else np.zeros(bands.shape, bool)
+        full = {int(pick[i]): bands[i][hot[i]].view(np.int64) for i in np.flatnonzero(hot.any(axis=1)).tolist()}
+        rows = sorted(full.keys() | set(np.flatnonzero(shared).tolist()))
         at = [self.at[i] for i in rows]
-        some = [bands[i][hot[i]].view(np.int64) for i in rows]
-        return pa.table([pa.array(np.full(len(rows), bundle), pa.int32()), pa.array([key_of(x) for x in text], pa.binary()), pa.array([x for x, _ in at], pa.int64()), pa.array([x for _, x in at], pa.int64()), pa.array(text, pa.string()), pa.array(some, pa.list_(pa.int64()))], schema=CANDIDATE)
+        return pa.table([pa.array(np.full(len(rows), bundle), pa.int32()), pa.array([key_of(self.text[i]) for i in rows], pa.binary()), pa.array([x for x, _ in at], pa.int64()), pa.array([x for _, x in at], pa.int64()), pa.array([self.text[i] if i in full else None for i in rows], pa.string()), pa.array([full.get(i) for i in rows], pa.list_(pa.int64()))], schema=CANDIDATE)
+
+
+def answer_same(table: pa.Table) -> pa.Table:
+    """Which names of each bundle other bundles have too, and of which it is the first bundle."""
+    each = [np.frombuffer(x.as_py(), np.uint64) for x in table["names"]]
+    size = [len(x) for x in each]
+    name, bundle = np.concatenate(each), np.repeat(table["b"].to_numpy(), size)
+    order = np.lexsort((bundle, name))
+    cuts = S.runs(name[order])
+    many, first = np.empty(len(name), bool), np.zeros(len(name), bool)
+    many[order] = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
+    first[order[cuts[:-1]]] = True
+    ends = np.cumsum(size)[:-1]
+    bits, mine = ([np.packbits(x).tobytes() for x in np.split(y, ends)] for y in (many, first))
+    return pa.table([table["b"], table["g"], pa.chunked_array([pa.array(bits, pa.binary())]), pa.chunked_array([pa.array(mine, pa.binary())])], schema=SAME_ANSWER)
 
 
 def key_of(line: str) -> bytes:
@@ -134,8 +187,71 @@ def shingles(line: str, width: int) -> set[str]:
     return {line[i : i + width] for i in range(len(line) - width + 1)} or {line}
 
 
+def common(names: np.ndarray, first: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many members the sets x[i] and y[i] have in common (names and offsets as line_sets gives them)."""
+    out = np.zeros(len(x), np.int64)
+    size = np.diff(first)
+    weight = np.cumsum(size[x] + size[y])
+    a = 0
+    while a < len(x):
+        b = max(a + 1, int(np.searchsorted(weight, (weight[a - 1] if a else 0) + AT_ONCE, side="right")))
+        b = min(b, a + (1 << (64 - NAME_BITS)))
+        sets = np.concatenate((x[a:b], y[a:b]))
+        n = size[sets]
+        at = np.arange(n.sum()) + np.repeat(first[sets] - (np.cumsum(n) - n), n)
+        both = (np.repeat(np.tile(np.arange(b - a, dtype=U64), 2), n) << U64(NAME_BITS)) | names[at]
+        both.sort()
+        twice = both[1:][both[1:] == both[:-1]]
+        out[a:b] = np.bincount((twice >> U64(NAME_BITS)).astype(np.int64), minlength=b - a)
+        a = b
+    return out
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the links that join what the ones before left apart."""
+    up: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (j := up.get(i, i)) != i:
+            up[i] = i = up.get(j, j)
+        return i
+
+    out = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = top(i), top(j)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def small_links(members: pa.Table, texts: pa.Table, width: int, threshold: int) -> pa.Table:
+    """Links among the lines of each bucket: members has bucket and node, texts has node and text."""
+    node = texts["node"].to_pylist()
+    names, first = line_sets(texts["text"].to_pylist(), width)
+    size, number = np.diff(first), dict(zip(node, range(len(node)), strict=True))
+    bucket = members["bucket"].to_numpy()
+    order = np.argsort(bucket, kind="stable")
+    own = np.fromiter(map(number.__getitem__, members["node"].to_pylist()), np.int64, len(order))[order]
+    cuts = S.runs(bucket[order])
+    held = np.diff(cuts)
+    pairs = [np.zeros(0, np.int64)]
+    for k in np.unique(held).tolist():  # all buckets of one size at once
+        block = own[cuts[:-1][held == k][:, None] + np.arange(k)]
+        for i, j in combinations(range(k), 2):
+            low, high = np.minimum(block[:, i], block[:, j]), np.maximum(block[:, i], block[:, j])
+            pairs.append(low * len(node) + high)
+    x, y = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(node)))
+    fits = 100 * np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y])
+    x, y = x[fits], y[fits]
+    both = common(names, first, x, y)
+    good = 100 * both >= threshold * (size[x] + size[y] - both)
+    links = forest(x[good], y[good])
+    return pa.table([pa.array([node[i] for i, _ in links], pa.binary()), pa.array([node[j] for _, j in links], pa.binary())], names=["a", "b"])
+
+
 def confirm(pairs: DataFrame, lines: DataFrame, width: int, threshold: int) -> DataFrame:
-    wide = pairs.join(lines.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(lines.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    wide = pairs.join(lines.select(F.col("node").alias("a"), F.col("payload").alias("x")), "a").join(lines.select(F.col("node").alias("b"), F.col("payload").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
@@ -151,28 +267,52 @@ def confirm(pairs: DataFrame, lines: DataFrame, width: int, threshold: int) -> D
     return wide.mapInArrow(run, "a binary, b binary")
 
 
+def linked(members: DataFrame, lines: DataFrame, width: int, threshold: int, chunk_mb: float = 2.0) -> DataFrame:
+    """node, root for each line that has a link. members: bucket, node; lines: node, payload (the text)."""
+    h = F.xxhash64("node")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("k"), F.min(h).alias("lo"), F.max(h).alias("hi"), F.bit_xor(h).alias("x")).filter("lo != hi")
+    once = stored(buckets.groupBy("k", "lo", "hi", "x").agg(F.min("bucket").alias("_b")))
+    n = parts(int(lines.agg(F.sum(F.octet_length("payload"))).first()[0] or 0), chunk_mb)
+    dealt = once.filter(F.col("k") <= SMALL).select("_b", F.pmod(F.xxhash64("lo"), F.lit(n)).cast("int").alias("chunk"))
+    placed = stored(members.join(dealt, F.col("bucket") == F.col("_b")).select("chunk", "bucket", "node"))
+    texts = placed.select(F.col("chunk").alias("c"), F.col("node").alias("_n")).distinct().join(lines, F.col("node") == F.col("_n")).select("c", "node", F.col("payload").alias("text"))
+    links = stored(placed.groupBy("chunk").cogroup(texts.groupBy("c")).applyInArrow(lambda held, text: small_links(held, text, width, threshold), "a binary, b binary"))
+    large = stored(members.join(once.filter(F.col("k") > SMALL).select("_b"), F.col("bucket") == F.col("_b"), "left_semi"))
+    if not large.isEmpty():
+        sets = stored(lines.join(large.select(F.col("node").alias("_n")).distinct(), F.col("node") == F.col("_n"), "left_semi"))
+        names = 8 * int(sets.agg(F.sum(F.char_length("payload"))).first()[0] or 0)
+        roots = resolve(large, sets, lambda x: line_sets(x.to_pylist(), width), names, threshold, lambda pairs: confirm(pairs, sets, width, threshold))
+        links = links.unionByName(roots.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+    return components(links)
+
+
 def dedup(docs: DataFrame, width: int = 8, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", bundle_mb: float = 6.0) -> DataFrame:
     """doc_id, text (the kept lines), n_lines (with a word), n_removed for each row of `docs`."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = parts(text_bytes(docs), bundle_mb)
     docs = docs.withColumn("b", bundle_of(["doc_id"], n))
 
-    def asks(key, table):
-        return S.ask(key[0].as_py(), Lines(table).runs(width, n)[0])
+    def asks(key, table, same):
+        own = Lines(table)
+        return S.ask(key[0].as_py(), own.runs(np.flatnonzero(own.told_same(n, same)[1]), width, n)[0])
 
     def narrow(key, table, answers):
-        return Lines(table).candidates(key[0].as_py(), width, n, answers)
-
-    told = docs.groupBy("b").applyInArrow(asks, S.ddl(S.ASK)).groupBy("g").applyInArrow(S.answer, S.ddl(S.ANSWER))
-    found = stored(docs.groupBy("b").cogroup(told.groupBy("b")).applyInArrow(narrow, CANDIDATE_DDL))
-    lines = stored(found.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("text").alias("text"), F.first("bands").alias("bands")))
-    members = lines.select(F.col("key").alias("node"), F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select(F.col("bucket").alias("_b"))
-    members = stored(members.join(crowded, F.col("bucket") == F.col("_b"), "left_semi"))
-    text_size = int(lines.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    texts = lines.select(F.col("key").alias("node"), F.col("text").alias("payload"))
-    roots = resolve(members.select("bucket", "node"), texts, lambda x: line_sets(x.to_pylist(), width), text_size, threshold, lambda pairs: confirm(pairs, lines, width, threshold))
-    named = lines.select("key", "at").join(roots.select(F.col("node").alias("_n"), "root"), F.col("key") == F.col("_n"), "left").select("key", "at", F.coalesce("root", "key").alias("root"))
+        kind = answers["mine"].is_valid()  # one side of the cogroup has the answers of both rounds
+        return Lines(table).candidates(key[0].as_py(), width, n, answers.filter(kind), answers.filter(pa.compute.invert(kind)))
+
+    import pyarrow.compute  # noqa: F401
+
+    bundles = docs.groupBy("b")
+    same = bundles.applyInArrow(lambda key, table: Lines(table).ask_same(key[0].as_py(), n), S.ddl(SAME_ASK)).groupBy("g").applyInArrow(answer_same, S.ddl(SAME_ANSWER))
+    told = bundles.cogroup(same.groupBy("b")).applyInArrow(asks, S.ddl(S.ASK)).groupBy("g").applyInArrow(S.answer, S.ddl(S.ANSWER))
+    both = same.unionByName(told.withColumn("mine", F.lit(None).cast("binary")))
+    found = stored(bundles.cogroup(both.groupBy("b")).applyInArrow(narrow, CANDIDATE_DDL))
+    some = found.filter("text is not null")
+    members = stored(some.select(F.col("key").alias("node"), F.explode("bands").alias("bucket")))
+    roots = linked(members, some.select(F.col("key").alias("node"), F.col("text").alias("payload")), width, threshold)
+    named = found.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("at"))
+    named = named.join(roots.select(F.col("node").alias("_n"), "root"), F.col("key") == F.col("_n"), "left").select("key", "at", F.coalesce("root", "key").alias("root"))
+    named = stored(named)
     stays = named.groupBy("root").agg(F.min("at").alias("first"))
     verdict = named.join(stays, "root").select(F.col("key").alias("_k"), "first")
     told = found.select("b", "key").join(verdict, F.col("key") == F.col("_k")).select("b", "key", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))

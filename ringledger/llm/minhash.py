@@ -11,9 +11,7 @@ import numpy as np
 
 from ringledger.llm.common import U64, mix
 
-EMPTY = np.iinfo(np.uint64).max
-#: Of a value that competes for a bin.
-VALUE_BITS = 40
+EMPTY = np.iinfo(np.uint32).max
 
 
 def places(bins: int, attempt: int) -> np.ndarray:
@@ -21,38 +19,44 @@ def places(bins: int, attempt: int) -> np.ndarray:
     return (mix(np.arange(bins, dtype=U64) * U64(0x1000003) + U64(attempt * 0x9E3779B1 + 12345)) % U64(bins)).astype(np.int64)
 
 
+def least_values(names: np.ndarray, owner: np.ndarray, n: int, bins: int) -> np.ndarray:
+    """n rows of `bins` values: a well mixed name picks the bin by its high half and competes with its low half."""
+    slot = (((names >> U64(32)) * U64(bins)) >> U64(32)).astype(np.int64)
+    slot += owner * bins
+    out = np.full(n * bins, EMPTY, np.uint32)
+    np.minimum.at(out, slot, names.astype(np.uint32))
+    return out.reshape(n, bins)
+
+
+def densify(values: np.ndarray) -> np.ndarray:
+    """Fills the empty bins of every row that has any value, in place."""
+    n, bins = values.shape
+    own = values.ravel().copy()
+    flat = values.reshape(-1)
+    empty = values == EMPTY
+    row, column = np.nonzero(empty & ~empty.all(axis=1)[:, None])
+    begin = row * bins
+    attempt = 0
+    while len(begin):
+        attempt += 1
+        found = own[begin + places(bins, attempt)[column]]
+        hit = found != EMPTY
+        flat[begin[hit] + column[hit]] = found[hit]
+        begin, column = begin[~hit], column[~hit]
+    return values
+
+
 def signatures(hashes: np.ndarray, first: np.ndarray, bins: int) -> np.ndarray:
     """A row of `bins` values for each set; set i has the members hashes[first[i] : first[i + 1]]. Empty sets get EMPTY."""
     n = len(first) - 1
-    assert n * bins < 1 << (64 - VALUE_BITS), "too many sets at once"
-    out = np.full(n * bins, EMPTY)
-    spread = mix(hashes ^ U64(0x5851F42D4C957F2D))
-    slot = ((spread >> U64(32)) * U64(bins)) >> U64(32)
-    slot += np.repeat(np.arange(n, dtype=U64) * U64(bins), np.diff(first))
-    # bin and value in one integer: a plain sort brings each bin's smallest value to the front
-    both = (slot << U64(VALUE_BITS)) | (spread & U64((1 << VALUE_BITS) - 1))
-    both.sort()
-    slot = both >> U64(VALUE_BITS)
-    heads = np.ones(len(slot), bool)
-    np.not_equal(slot[1:], slot[:-1], out=heads[1:])
-    out[slot[heads].astype(np.int64)] = both[heads] & U64((1 << VALUE_BITS) - 1)
-    out = out.reshape(n, bins)
-    own = out != EMPTY
-    row, column = np.nonzero(~own & own.any(axis=1)[:, None])
-    attempt = 0
-    while len(row):
-        attempt += 1
-        source = places(bins, attempt)[column]
-        hit = own[row, source]
-        out[row[hit], column[hit]] = out[row[hit], source[hit]]
-        row, column = row[~hit], column[~hit]
-    return out
+    owner = np.repeat(np.arange(n), np.diff(first))
+    return densify(least_values(mix(hashes ^ U64(0x5851F42D4C957F2D)), owner, n, bins))
 
 
 def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit hash for each band of `rows` neighbouring bins; the band's number is part of it."""
     n, bins = signature.shape
-    part = signature.reshape(n, bins // rows, rows)
+    part = signature.reshape(n, bins // rows, rows).astype(U64)
     out = np.broadcast_to(mix(np.arange(bins // rows, dtype=U64) + U64(77)), part.shape[:2]).copy()
     for j in range(rows):
         out = mix(out * U64(0x9E3779B97F4A7C15) + part[:, :, j])

@@ -33,13 +33,14 @@ BLOCK = 500
 NODE_KINDS = {"bigint": pa.int64(), "binary": pa.binary()}
 
 
-def shared_counts(sets: DataFrame, hashes_of: Callable, payload_bytes: int, bundle_mb: float = 8.0) -> DataFrame:
+def shared_counts(sets: DataFrame, hashes_of: Callable, member_bytes: int, bundle_mb: float = 8.0) -> DataFrame:
     """node, n, r for sets (node, payload). hashes_of(payloads) gives the 64-bit names of all members and n + 1 offsets.
 
+    member_bytes is eight times the number of members of all sets, which the size of a bundle follows.
     Bundles ask by 32-bit names which members occur in other bundles or twice in their own (superkmers.ask); names that
     agree by chance can only raise r.
     """
-    n = parts(payload_bytes, bundle_mb)
+    n = parts(member_bytes, bundle_mb)
     kind = dict(sets.dtypes)["node"]
     sets = sets.select("node", "payload").withColumn("b", bundle_of(["node"], n))
 
@@ -55,10 +56,7 @@ def shared_counts(sets: DataFrame, hashes_of: Callable, payload_bytes: int, bund
     def counts(table, answers):
         runs, first = found(table)
         group, _, place, _ = S.names_by_group(runs)
-        shared = np.zeros(len(group), bool)
-        for g, bits in zip(answers["g"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-            a, b = np.searchsorted(group, [g, g + 1])
-            shared[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        shared = S.told_bits(group, answers)
         total = np.concatenate(([0], np.cumsum(shared[place]))) if len(place) else np.zeros(first[-1] + 1, np.int64)
         return pa.table([table["node"], pa.array(np.diff(first), pa.int64()), pa.array(total[first[1:]] - total[first[:-1]], pa.int64())], names=["node", "n", "r"])
 
@@ -82,7 +80,7 @@ def first_pairs(members: DataFrame, threshold: int) -> DataFrame:
 
 def stragglers(members: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
     """Distinct (g, node): the nodes of a bucket outside of its largest component, whose root is g."""
-    named = members.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select("bucket", "node", "n", "r", F.coalesce("root", "node").alias("root"))
+    named = stored(members.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select("bucket", "node", "n", "r", F.coalesce("root", "node").alias("root")))
     sizes = named.groupBy("bucket").agg(F.min("n").alias("lo"), F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k"))
     apart = sizes.filter("x != y and k > 2").select(F.col("bucket").alias("_b"), "lo")  # a bucket of two is tested by its star
     held = named.join(apart, F.col("bucket") == F.col("_b")).filter(100 * F.col("r") >= threshold * (F.col("n") + F.greatest("r", "lo") - F.col("r"))).select("bucket", "node", "root")
@@ -136,13 +134,13 @@ def block_links(odd: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFr
     return left.cogroup(right).applyInArrow(links, f"a {kind}, b {kind}").distinct()
 
 
-def resolve(members: DataFrame, sets: DataFrame, hashes_of: Callable, payload_bytes: int, threshold: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def resolve(members: DataFrame, sets: DataFrame, hashes_of: Callable, member_bytes: int, threshold: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node, root for each node that has a link.
 
     members: bucket, node; sets: node, payload; hashes_of(payloads) gives the 64-bit names of all members, once a set,
     and n + 1 offsets; verify(pairs) keeps the links among pairs (a, b).
     """
-    sizes = shared_counts(sets, hashes_of, payload_bytes)
+    sizes = shared_counts(sets, hashes_of, member_bytes)
     likely = stored(sizes.filter(100 * F.col("r") >= threshold * F.col("n")))
     members = stored(members.join(likely.select(F.col("node").alias("_n"), "n", "r"), F.col("node") == F.col("_n")).select("bucket", "node", "n", "r"))
     links = stored(verify(stored(first_pairs(members, threshold))))

@@ -139,14 +139,19 @@ def answer(table: pa.Table) -> pa.Table:
     return pa.table([table["b"], table["g"], pa.chunked_array([pa.array(bits, pa.binary())])], schema=ANSWER)
 
 
-def shared_runs(found: Runs, answers: pa.Table) -> Runs:
-    """The runs whose minimiser occurs more than once."""
-    group, _, place, _ = names_by_group(found)
+def told_bits(group: np.ndarray, answers: pa.Table, column: str = "bits") -> np.ndarray:
+    """The answers to the names of a bundle; `group` has the group of each name, in order."""
     shared = np.zeros(len(group), bool)
-    for g, bits in zip(answers["g"].to_pylist(), answers["bits"].to_pylist(), strict=True):
+    for g, bits in zip(answers["g"].to_pylist(), answers[column].to_pylist(), strict=True):
         a, b = np.searchsorted(group, [g, g + 1])
         shared[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-    keep = shared[place]
+    return shared
+
+
+def shared_runs(found: Runs, answers: pa.Table) -> Runs:
+    """The runs whose minimiser occurs more than once."""
+    group, _, place, _ = names_by_group(found)
+    keep = told_bits(group, answers)[place]
     return Runs(*(getattr(found, x)[keep] for x in ("start", "count", "name", "group", "owner")))
 
 
