@@ -86,7 +86,7 @@ def jn15(spark, folder):
     return e.join(one, e.user_id == one.o_custkey, "left").select("event_id", "o_totalprice")
 
 
-@query("jn16_two_tiers", "SELECT s_suppkey, coalesce(c.c_acctbal, n.b, 1500.0::DOUBLE) AS rating FROM supplier LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON s_suppkey = c_custkey LEFT JOIN (SELECT c_nationkey, max(c_acctbal) AS b FROM customer WHERE c_nationkey < 10 GROUP BY 1) n ON s_nationkey = n.c_nationkey")
+@query("jn16_two_tiers", "SELECT s_suppkey, coalesce(c.c_acctbal, n.b, 1500.0::DOUBLE) AS rating FROM supplier LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON s_suppkey = c_custkey LEFT JOIN (SELECT c_nationkey, max(c_acctbal) AS b FROM customer WHERE c_nationkey < 10 GROUP BY 1) n ON s_nationkey = n.c_nationkey")
 def jn16(spark, folder):
     c = table(spark, folder, "customer")
     by_key = c.filter("c_acctbal > 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_acctbal").alias("x"))
@@ -158,8 +158,8 @@ def jn27(spark, folder):
     return c.join(s, (c.c_nationkey == s.s_nationkey) & near).groupBy("c_custkey").agg(F.min("s_suppkey").alias("s_suppkey"))
 
 
-@query("jn28_source_priority_merge", """WITH p AS (SELECT s_suppkey AS k, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS balance, s_nationkey AS nation FROM supplier WHERE s_suppkey % 2 = 0),
-q AS (SELECT s_suppkey AS k, -1.0::DOUBLE AS balance, CASE WHEN s_nationkey > 5 THEN s_nationkey + 100 END AS nation FROM supplier WHERE s_suppkey % 3 = 0)
+@query("jn28_source_priority_merge", """WITH p AS (SELECT s_suppkey AS k, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS balance, s_nationkey AS nation FROM supplier WHERE s_acctbal < 5000),
+q AS (SELECT s_suppkey AS k, -1.0::DOUBLE AS balance, CASE WHEN s_nationkey > 5 THEN s_nationkey + 100 END AS nation FROM supplier WHERE s_acctbal >= 0)
 SELECT coalesce(p.k, q.k) AS k, coalesce(p.balance, q.balance) AS balance, coalesce(q.nation, p.nation) AS nation, CASE WHEN q.k IS NULL THEN 'primary' WHEN p.k IS NULL THEN 'secondary' ELSE 'both' END AS origin FROM p FULL JOIN q ON p.k = q.k""")
 def jn28(spark, folder):
     s = table(spark, folder, "supplier")

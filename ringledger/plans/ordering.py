@@ -125,7 +125,7 @@ def st8(spark, folder):
     return table(spark, folder, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("keys"))
 
 
-@query("st9_dictionary_merge", "WITH x AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier WHERE s_suppkey < 60), y AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey BETWEEN 40 AND 90) SELECT coalesce(x.k, y.k) AS k, coalesce(y.v, x.v) AS v FROM x FULL JOIN y ON x.k = y.k")
+@query("st9_dictionary_merge", "SELECT coalesce(s_suppkey, c_custkey) AS k, coalesce(c_acctbal, s_acctbal) AS v FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
 def st9(spark, folder):
     x = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("x"))
     y = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("y"))

@@ -15,7 +15,7 @@ query = M.query
 MARKS = f"translate(lower(x), '{T.MARKED}', '{T.PLAIN}')"
 
 
-@query("fn1_plain_name", f"SELECT doc_id, trim(regexp_replace(trim(regexp_replace({MARKS}, '\\s+', ' ', 'g')), ' (jr|sr|ii|iii|iv)\\.?$', '')) AS name FROM (SELECT doc_id, left(text, 40) || ' Jr.' AS x FROM documents)")
+@query("fn1_plain_name", f"SELECT doc_id, trim(regexp_replace(trim(regexp_replace({MARKS}, '\\s+', ' ', 'g')), ' (jr|sr|ii|iii|iv)\\.?$', '')) AS name FROM (SELECT doc_id, text || ' Jr.' AS x FROM documents)")
 def fn1(spark, folder):
     return table(spark, folder, "documents").select("doc_id", T.plain_name(F.concat("text", F.lit(" Jr."))).alias("name"))
 
@@ -69,7 +69,7 @@ def fn16(spark, folder):
     return table(spark, folder, "customer").select("c_mktsegment", F.lower(F.trim(F.regexp_replace(x, " Division$", ""))).alias("class")).distinct()
 
 
-@query("fn17_clean_text", "SELECT doc_id, trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g')) AS clean, TRY_CAST(regexp_extract(text, '(\\d+)', 1) AS INT) AS number FROM documents")
+@query("fn17_clean_text", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean, TRY_CAST(regexp_extract(text, '(\\d+)', 1) AS INT) AS number FROM documents")
 def fn17(spark, folder):
     return table(spark, folder, "documents").select("doc_id", T.squeezed(F.col("text")).alias("clean"), F.regexp_extract("text", r"(\d+)", 1).try_cast("int").alias("number"))
 
