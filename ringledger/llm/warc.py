@@ -8,6 +8,11 @@ the index and the archive, and reads each record by its range.
 Of records with equal payloads of at least `revisit_from` bytes, that with the smallest page id is a response and the
 others are revisits of it, without payload.
 
+Decisions need digests only. A payload that a thousandth of all rows hold (a thousand payloads at most) is decided by
+broadcast, so that its copies are dropped before anything is shuffled by digest; its rows are spread.
+
+The manifest says where each block of the index begins, so that a reader takes its own lines only.
+
 Packages are written by the executors straight into shared storage (a file: folder that all share, or any store that
 pyarrow.fs opens); a failed attempt leaves a file that no manifest row names.
 
@@ -32,7 +37,6 @@ from pathlib import Path
 from urllib.parse import quote, unquote, urlparse
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -218,32 +222,41 @@ class Package:
         self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED, allowZip64=True)
         self.member = self.zip.open(zipfile.ZipInfo(WARC), "w", force_zip64=True)
         self.index: list[bytes] = []
+        self.marks, self.size = [0], 0
         self.at = 0
 
     def add(self, record: bytes, entry: dict) -> None:
         self.member.write(record)
         self.index.append(json.dumps(entry | {"offset": self.at, "length": len(record)}).encode() + b"\n")
+        self.size += len(self.index[-1])
         self.at += len(record)
+        if len(self.index) % BLOCK == 0:
+            self.marks.append(self.size)
 
-    def close(self) -> tuple[str, int]:
+    def close(self) -> tuple[str, int, list[int]]:
         self.member.close()
         self.zip.writestr(zipfile.ZipInfo(INDEX), b"".join(self.index))
         about = {"profile": "data-package", "resources": [{"path": WARC, "bytes": self.at}, {"path": INDEX, "records": len(self.index)}]}
         self.zip.writestr(zipfile.ZipInfo("datapackage.json"), json.dumps(about))
         self.zip.close()
         self.out.close()
-        return self.path, len(self.index)
+        return self.path, len(self.index), self.marks if self.marks[-1] == self.size else [*self.marks, self.size]
 
 
 def write(pages: DataFrame, folder: str, revisit_from: int = 0, package_mb: float = 64.0, level: int = 6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes packages below `folder`; gives their manifest: path, records."""
+    """Writes packages below `folder`; gives their manifest: path, records, marks (offsets of the index's blocks and its size)."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     firsts = rows.filter(F.col("size") >= revisit_from).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    firsts = firsts.select(F.col("digest").alias("_digest"), F.col("size").alias("_size"), "first")
-    rows = rows.join(firsts, (F.col("digest") == F.col("_digest")) & (F.col("size") == F.col("_size")), "left")
+    firsts = stored(firsts.select(F.col("digest").alias("_digest"), F.col("size").alias("_size"), "first", "n"))
+    most = F.col("n") * 1000 >= pages.count()
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    rows = rows.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    slim = ("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size")
+    rows = rows.join(F.broadcast(firsts.filter(most).drop("n")), (F.col("digest") == F.col("_digest")) & (F.col("size") == F.col("_size")), "left")
+    rows = rows.select(*slim, F.col("first").alias("hot"))
+    key = F.when(F.col("hot").isNotNull(), F.xxhash64("page_id", "url").cast("string")).otherwise(F.col("digest"))
+    rows = rows.join(firsts.filter(~most).drop("n"), (key == F.col("_digest")) & (F.col("size") == F.col("_size")), "left").withColumn("first", F.coalesce("hot", "first"))
+    rows = rows.select(*slim, F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         package, made = None, []
@@ -258,20 +271,21 @@ def write(pages: DataFrame, folder: str, revisit_from: int = 0, package_mb: floa
                     package = None
         if package:
             made.append(package.close())
-        assert TaskContext.get() is not None
-        yield pa.record_batch([pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.int64())], names=["path", "records"])
+        yield pa.record_batch([pa.array([x[i] for x in made], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.list_(pa.int64())))], names=["path", "records", "marks"])
 
-    return stored(rows.mapInArrow(run, "path string, records long"))
+    return stored(rows.mapInArrow(run, "path string, records long, marks array<long>"))
 
 
 # ---------------------------------------------------------------- reading
 
 
 def read_block(source: Ranges, first: int, last: int) -> Iterator[dict]:
-    """Records first to last - 1 of a package's index, each read by its range."""
+    """The records that the bytes first to last - 1 of a package's index name, each read by its range."""
     members = directory(source)
     (index_header, index_size), (warc_header, warc_size) = members[INDEX], members[WARC]
-    index = source.read(member_start(source, index_header), index_size).split(b"\n")[first:last]
+    if last > index_size:
+        raise ValueError("block outside of the index")
+    index = source.read(member_start(source, index_header) + first, last - first).split(b"\n")
     begin = member_start(source, warc_header)
     for line in index:
         if not line:
@@ -296,8 +310,9 @@ SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type
 
 
 def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of the packages in a manifest (path, records), a block of records a row of work."""
-    blocks = manifest.filter("records > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(BLOCK).cast("long"))).alias("first"))
+    """All records of the packages in a manifest (path, records, marks), a block of records a row of work."""
+    ends = F.arrays_zip(F.col("marks").alias("first"), F.slice("marks", F.lit(2), F.size("marks")).alias("last"))
+    blocks = manifest.filter("records > 0").select("path", F.explode(F.filter(ends, lambda x: x["last"].isNotNull())).alias("block")).select("path", "block.first", "block.last")
     spread = max(1, int(manifest.agg(F.sum(F.ceil(F.col("records") / BLOCK))).first()[0] or 1))
     blocks = blocks.repartition(min(spread, 100_000))
     keep = [f.name for f in SCHEMA if payloads or f.name != "payload"]
@@ -308,7 +323,7 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             for row in batch.to_pylist():
                 with Ranges(row["path"]) as source:
                     held, size = [], 0
-                    for record in read_block(source, row["first"], row["first"] + BLOCK):
+                    for record in read_block(source, row["first"], row["last"]):
                         held.append(record)
                         size += len(record["payload"] or b"")
                         if size > 16e6:
