@@ -6,8 +6,9 @@ a whole. Block shift tables skip impossible positions, buckets by the hash of th
 first bytes sort out most of them, and a direct comparison confirms. Many stretches of text are searched side by side,
 each with a cursor of its own, so that a step is one array operation.
 
-The benchmark reaches the workers in blocks of a fixed size; a larger benchmark makes more blocks, and each batch of
-documents goes past all of them. Documents aren't shuffled.
+The benchmark reaches driver and workers in blocks of a fixed size, RESIDENT of them at a time. A larger benchmark takes
+more passes over the documents: each stores the hits of its blocks, which are merged by row. Texts aren't shuffled by
+find(), and by drop_contaminated() only after more than one pass.
 
 Defined cases: a null text or one without words has no words, no hits and isn't contaminated; an item without words
 has no window; equal items all count; an item without an id is named null; rows are judged one by one, so repeated
@@ -17,16 +18,19 @@ rows and ids don't matter; other columns are carried along by drop_contaminated(
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringledger.llm.common import U64, raw_strings, slices
+from ringledger.llm.common import U64, raw_strings, slices, stored
 
 #: Bytes of item text in one block of the benchmark.
 BLOCK_BYTES = 4_000_000
+#: Blocks that a worker holds at a time.
+RESIDENT = 8
 #: Window starts in one stretch of text, and bytes of text that are searched at once.
 STRETCH, CHUNK = 1024, 8_000_000
 
@@ -197,29 +201,100 @@ def is_contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """For each row of `docs`: doc_id, n_words, n_hit, spans (hit words as [first, after last)), items, contaminated."""
-    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in blocks(benchmark, item_col, item_text_col, window)]
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+HITS = "n_words long, n_hit long, spans array<struct<first: long, last: long>>, items array<string>, contaminated boolean"
+
+
+def hits(n_words: list[int], spans: list, items: list) -> list[pa.Array]:
+    """The columns of HITS; `spans` are pairs."""
+    hit = [sum(b - a for a, b in x) for x in spans]
+    bad = [is_contaminated(n, h) for n, h in zip(n_words, hit, strict=True)]
+    return [pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([[{"first": a, "last": b} for a, b in x] for x in spans], SPANS), pa.array(items, pa.list_(pa.string())), pa.array(bad, pa.bool_())]
+
+
+def searched(slim: DataFrame, shared: list) -> DataFrame:
+    """id, HITS for each row of slim (id, text) against the blocks `shared`."""
 
     def run(batches):
         matchers = [x.value for x in shared]
         for batch in slices(batches):
-            n_words, spans, items = scan(batch.column(1), matchers)
-            hit = [sum(b - a for a, b in x) for x in spans]
-            bad = [is_contaminated(n, h) for n, h in zip(n_words, hit, strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([[{"first": a, "last": b} for a, b in x] for x in spans], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(items, pa.list_(pa.string())), pa.array(bad, pa.bool_())], names=["doc_id", "n_words", "n_hit", "spans", "items", "contaminated"])
+            yield pa.record_batch([batch.column(0), *hits(*scan(batch.column(1), matchers))], names=["id", "n_words", "n_hit", "spans", "items", "contaminated"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_words long, n_hit long, spans array<struct<first: long, last: long>>, items array<string>, contaminated boolean")
+    return slim.mapInArrow(run, f"id {dict(slim.dtypes)['id']}, {HITS}")
+
+
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """id, HITS of the rows with hits in any pass."""
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x)
+    rows = rows.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+    def run(batches):
+        for batch in batches:
+            spans = []
+            for each in batch.column(2).to_pylist():
+                cover: list[tuple[int, int]] = []
+                for a, b in ((x["first"], x["last"]) for x in each):
+                    if cover and a <= cover[-1][1]:
+                        cover[-1] = (cover[-1][0], max(b, cover[-1][1]))
+                    else:
+                        cover.append((a, b))
+                spans.append(cover)
+            yield pa.record_batch([batch.column(0), *hits(batch.column(1).to_pylist(), spans, batch.column(3).to_pylist())], names=["id", "n_words", "n_hit", "spans", "items", "contaminated"])
+
+    return rows.mapInArrow(run, f"id long, {HITS}")
+
+
+def passes(slim: DataFrame, rest: Iterator[tuple[Matcher, ...]], first: list) -> tuple[DataFrame, DataFrame]:
+    """id and n_words of all rows of slim (id: names rows with equal texts and ids alike), and HITS of those with hits."""
+    sc, every, found, shared = slim.sparkSession.sparkContext, None, [], first
+    while shared:
+        out = stored(searched(slim, shared))
+        every = out.select("id", "n_words") if every is None else every
+        found.append(out.filter("n_hit > 0"))
+        for x in shared:
+            x.destroy()
+        shared = [sc.broadcast(m) for m in next(rest, ())]
+    return every, stored(merged(found))
+
+
+def row_key(id_: Column, text: Column) -> Column:
+    return F.xxhash64(id_, text)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """For each row of `docs`: doc_id, n_words, n_hit, spans (hit words as [first, after last)), items, contaminated."""
+    sc = docs.sparkSession.sparkContext
+    rest = batched(blocks(benchmark, item_col, item_text_col, window), RESIDENT)
+    first, second = ([sc.broadcast(m) for m in next(rest, ())] for _ in range(2))
+    id_, text = F.col(id_col).cast("long"), F.col(text_col)
+    if not second:
+        return searched(docs.select(id_.alias("id"), text.alias("text")), first).withColumnRenamed("id", "doc_id")
+    slim = docs.select(row_key(id_, text).alias("id"), text.alias("text"))
+    every, found = passes(slim, iter([tuple(x.value for x in second), *rest]), first)
+    ids = docs.select(id_.alias("doc_id"), row_key(id_, text).alias("_id"))
+    words = every.dropDuplicates(["id"]).select("id", F.col("n_words").alias("_words"))
+    rows = ids.join(words, F.col("_id") == F.col("id")).drop("id").join(found, F.col("_id") == F.col("id"), "left")
+    none = [F.coalesce(c, F.lit(z)) for c, z in (("n_hit", 0), ("contaminated", False))]
+    return rows.select("doc_id", F.col("_words").alias("n_words"), none[0].cast("long").alias("n_hit"), F.coalesce("spans", F.array().cast("array<struct<first: long, last: long>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), none[1].alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of `docs` that aren't contaminated, unchanged."""
-    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in blocks(benchmark, item_col, item_text_col, window)]
+    sc = docs.sparkSession.sparkContext
+    rest = batched(blocks(benchmark, item_col, item_text_col, window), RESIDENT)
+    first, second = ([sc.broadcast(m) for m in next(rest, ())] for _ in range(2))
+    if second:
+        text = F.col(text_col)
+        found = passes(docs.select(F.xxhash64(text).alias("id"), text.alias("text")), iter([tuple(x.value for x in second), *rest]), first)[1]
+        bad = found.filter("contaminated").select("id")
+        rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text).alias("key"))
+        return rows.join(bad, F.col("key") == F.col("id"), "left_anti").select("row.*")
     at = docs.columns.index(text_col)
 
     def run(batches):
-        matchers = [x.value for x in shared]
+        matchers = [x.value for x in first]
         for batch in slices(batches):
             n_words, spans, _ = scan(batch.column(at), matchers)
             good = [not is_contaminated(n, sum(b - a for a, b in x)) for n, x in zip(n_words, spans, strict=True)]
