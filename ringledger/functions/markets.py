@@ -73,6 +73,19 @@ def blend(model: Column, rating: Column, asymmetry: Column, missing: Column) ->
     return clamp(weight * model + (1 - weight) * rating, 0.10, 0.90)
 
 
+def penalty_shifted(p: Column, penalty_a: Column, penalty_b: Column) -> Column:
+    """A probability after both sides' penalties: an eighth of a percent a point, ten points of percent at most."""
+    a, b = (F.least(x / 400 * 0.5, F.lit(0.10)) for x in (penalty_a, penalty_b))
+    return clamp(p - a + b, 0.10, 0.90)
+
+
+def value_bet(p: Column, implied_a: Column, implied_b: Column, least: float = 0.05) -> Column:
+    """Struct of side and edge: the first side if its edge is large enough, else the second; null for no bet."""
+    a, b = p - implied_a, 1 - p - implied_b
+    bet = lambda side, edge: F.struct(F.lit(side).alias("side"), edge.alias("edge"))
+    return F.when(a > least, bet("a", a)).when(b > least, bet("b", b))
+
+
 def kelly(edge: Column, decimal: Column, fraction: float = 0.25, most: float = 0.05, discount: float = 0.30, least: float = 0.03) -> Column:
     """Share of the bankroll to stake: a fraction of Kelly on a discounted edge, capped; 0 for no bet."""
     e = edge * (1 - discount)

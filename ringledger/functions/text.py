@@ -22,6 +22,11 @@ def plain_name(x: Column) -> Column:
     return F.trim(F.regexp_replace(folded, SUFFIX, ""))
 
 
+def folded(x: Column) -> Column:
+    """Lower case, without marks."""
+    return F.translate(F.lower(x), MARKED, PLAIN)
+
+
 def slug(x: Column) -> Column:
     kept = F.regexp_replace(F.translate(F.lower(x), MARKED, PLAIN), r"[^a-z0-9 -]", "")
     return F.regexp_replace(F.regexp_replace(F.trim(kept), r"[ ]+", "-"), r"-+", "-")

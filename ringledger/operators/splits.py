@@ -8,20 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def by_position(df: DataFrame, order: Sequence[str], cuts: Sequence[tuple[str, float]]) -> DataFrame:
-    """Adds `part`: rows in order fall into the named parts with the given cumulative shares, e.g. (("train", .7), ("val", .85), ("holdout", 1)).
+def numbered(df: DataFrame, order: Sequence[str], out: str, total: str | None = None) -> DataFrame:
+    """Adds `out`, the place of each row in order (from 1), and on demand the number of rows.
 
-    Ranks come from counts of each distinct order key's day, so that no single task sorts all rows: a day's rows are
-    ranked in its own window, on top of the rows of all days before.
+    Places come from counts of the order's days, so that no single task sorts all rows: a day's rows are ranked in its
+    own window, on top of the rows of all days before.
     """
     day = F.to_date(order[0])
-    per_day = df.groupBy(day.alias("_day")).agg(F.count("*").alias("_n"))
-    above = per_day.select(F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    ranked = df.join(above, day == F.col("_d")).withColumn("_rank", F.col("_above") + F.row_number().over(Window.partitionBy("_d").orderBy(*order)))
+    per_day = df.groupBy(day.alias("_day")).agg(F.count("*").alias("_rows"))
+    above = per_day.select(F.col("_day").alias("_d"), F.coalesce(F.sum("_rows").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"), F.sum("_rows").over(Window.partitionBy()).alias("_total"))
+    ranked = df.join(above, day == F.col("_d")).withColumn(out, F.col("_above") + F.row_number().over(Window.partitionBy("_d").orderBy(*order)))
+    return (ranked.withColumnRenamed("_total", total) if total else ranked.drop("_total")).drop("_d", "_above")
+
+
+def by_position(df: DataFrame, order: Sequence[str], cuts: Sequence[tuple[str, float]]) -> DataFrame:
+    """Adds `part`: rows in order fall into the named parts with the given cumulative shares, e.g. (("train", .7), ("val", .85), ("holdout", 1))."""
+    ranked = numbered(df, order, "_rank", "_total")
     part = F.lit(cuts[-1][0])
     for name, share in reversed(cuts[:-1]):
         part = F.when(F.col("_rank") <= F.floor(F.col("_total") * share), F.lit(name)).otherwise(part)
-    return ranked.withColumn("part", part).drop("_d", "_above", "_total", "_rank")
+    return ranked.withColumn("part", part).drop("_total", "_rank")
 
 
 def folds(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:

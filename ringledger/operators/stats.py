@@ -41,6 +41,20 @@ def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or pd.isna(c) else one(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)], dtype="float64")
 
 
+def binomial_head(k: str, n: str, p: Column) -> Column:
+    """P(X <= k) of a binomial."""
+    return binomial_tail(F.col(n) - F.col(k), F.col(n), 1 - p)
+
+
+def edge_warnings(n: Column, rate: Column, expected: Column, least: int = 10, practical: float = 0.03) -> Column:
+    """Struct of confidence and warnings: few samples, an edge too small to use, an interval that reaches below zero."""
+    edge = rate - expected
+    low = edge - 1.96 * F.sqrt(rate * (1 - rate) / n)
+    found = (n < 2 * least).cast("int") + (F.abs(edge) < practical).cast("int") + (low < 0).cast("int")
+    level = F.when(n < least, "none").when(found == 0, "high").when(found == 1, "medium").otherwise("low")
+    return F.struct(level.alias("confidence"), F.when(n >= least, found).alias("warnings"))
+
+
 def enough(n: Column, kind: str) -> Column:
     """insufficient, borderline (less than twice the minimum) or sufficient."""
     least = MIN_SAMPLES.get(kind, 100)
