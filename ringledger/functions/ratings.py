@@ -110,6 +110,16 @@ def style(strikes: Column, takedowns: Column, submissions: Column) -> Column:
     return F.when(t > 2.5, "wrestler").when(u > 1.0, "grappler").when((s > 4.0) & (t < 2.0), "striker").otherwise("balanced")
 
 
+# Years of the peak, and what each year before and after it costs; what an inch of reach is worth.
+PEAK, BEFORE_PEAK, AFTER_PEAK, INCH = (27, 32), 0.01, 0.02, 0.005
+
+
+def enhanced_shift(age: Column, reach: Column, other_reach: Column, style_edge: Column) -> Column:
+    """What age, reach and style add to an expectation; what isn't known adds nothing."""
+    by_age = F.when(age < PEAK[0], (age - PEAK[0]) * BEFORE_PEAK).when(age > PEAK[1], (PEAK[1] - age) * AFTER_PEAK).otherwise(0.0)
+    return by_age + F.coalesce((reach - other_reach) * INCH, F.lit(0.0)) + F.coalesce(style_edge, F.lit(0.0))
+
+
 def style_advantage(a: Column, b: Column) -> Column:
     """1 if a's style beats b's, -1 if b's beats a's, else 0."""
     x, y = F.lower(F.coalesce(a, F.lit("balanced"))), F.lower(F.coalesce(b, F.lit("balanced")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters with marks and their plain forms, in the same order.
@@ -128,3 +128,28 @@ def event_score(title: Column, search: str, stop: tuple[str, ...] = ("the", "and
     words = [w for w in re.split(r"\s+|\bvs\b\.?", search.lower()) if len(w) > 1 and w not in stop]
     t = F.lower(title)
     return sum((F.when(t.contains(w), 3 if len(w) >= 4 else 1).otherwise(0) for w in words), F.lit(0))
+
+
+# Months in order, and what a text says about when something was (days before today; the first that fits).
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+COMEBACK = "return|comeback|back in action|cleared|all clear|recovered|fully healed|ready to fight|back in the cage|ended up with|i had|had surgery|underwent|went through|after that surgery|after the surgery|since the fight|since that|it took a long time"
+AGO = ((COMEBACK, 300), ("this week|just|breaking", 7), ("last week", 14), ("this month|recently", 30), ("last month", 60), ("recent|latest|new|today", 90))
+
+
+def injury_date(text: Column, as_of: Column) -> Column:
+    """The middle of a named month of a named year, else as long ago as the text suggests, else half a year ago."""
+    t = F.lower(text)
+    year, month = F.regexp_extract(t, r"20[12][0-9]", 0), F.lit(None).cast("string")
+    for i, name in reversed(list(enumerate(MONTHS, 1))):
+        month = F.when(t.contains(name), f"{i:02d}").otherwise(month)
+    ago = F.lit(180)
+    for pattern, days in reversed(AGO):
+        ago = F.when(t.rlike(pattern), days).otherwise(ago)
+    named = F.when((year != "") & month.isNotNull(), F.to_date(F.concat_ws("-", year, month, F.lit("15"))))
+    return F.coalesce(named, F.date_sub(as_of, ago))
+
+
+def routed(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """key and a column for each field: the value whose label contains the field's word."""
+    label = F.lower("label")
+    return rows.groupBy(key).agg(*(F.max(F.when(label.contains(word), F.col("value"))).alias(name) for name, word in fields.items()))

@@ -1,8 +1,10 @@
 """Sequential ratings: each contest moves both sides' ratings, in order of (d, id).
 
 A contest needs the current rating of both sides, so that contests of one connected component can't be parted. Ratings
-run per component (applyInPandas), each component's contests in order; without a component column, the caller's
-contests are one. The kernel is a loop over plain lists with a dictionary of ratings, a few microseconds a contest.
+run per component (applyInPandas), each component's contests in order. Components come from the links between sides
+(graph.py) or from a column. A component that holds nearly all contests is one task: a kernel of a few microseconds a
+contest over plain lists, some 80 bytes of memory a contest; beyond a few hundred million contests in one component,
+rate by period and carry the ratings over.
 """
 
 from __future__ import annotations
@@ -12,17 +14,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringledger.functions.ratings import BASE, k_factor
+from ringledger.operators import graph
 
 HISTORY = "id long, d timestamp, entity long, opponent long, before double, opponent_before double, expected double, after double, change double, result string"
 
 
-def run_contests(rows: pd.DataFrame) -> pd.DataFrame:
-    """Both sides' history rows. rows: id, d, a, b, winner (null: draw), k; sorted here."""
+# What a win or loss adds to form, how much of it and other shifts count, and the bounds of an enhanced expectation.
+FORM, SHARE, LOW, HIGH = {"win": 0.02, "loss": -0.02, "draw": 0.0}, 0.5, 0.05, 0.95
+
+
+def form(results: list[str]) -> float:
+    """Of the last three results, the latest one counts whole, the others a half and a third."""
+    return sum(FORM[x] / (i + 1) for i, x in enumerate(reversed(results[-3:])))
+
+
+def run_contests(rows: pd.DataFrame, enhanced: bool = False) -> pd.DataFrame:
+    """Both sides' history rows. rows: id, d, a, b, winner (null: draw), k, shift_a, shift_b; sorted here."""
     rows = rows.sort_values(["d", "id"])
     rating: dict[int, float] = {}
     last: dict[int, pd.Timestamp] = {}
+    past: dict[int, list[str]] = {}
     out = []
-    for id_, d, a, b, winner, k in zip(rows["id"], rows["d"], rows["a"], rows["b"], rows["winner"], rows["k"], strict=True):
+    for id_, d, a, b, winner, k, shift_a, shift_b in zip(*(rows[c] for c in ("id", "d", "a", "b", "winner", "k", "shift_a", "shift_b")), strict=True):
         for x in (a, b):
             if x in last:
                 years = (d - last[x]).days / 365
@@ -31,23 +44,38 @@ def run_contests(rows: pd.DataFrame) -> pd.DataFrame:
         ra, rb = rating.get(a, BASE), rating.get(b, BASE)
         expected = 1 / (1 + 10 ** ((rb - ra) / 400))
         score = 0.5 if pd.isna(winner) else float(winner == a)
+        if enhanced:  # seen from the winner's side, of a draw from the first side
+            first = score > 0
+            more = (shift_a if first else shift_b) + form(past.get(a if first else b, []))
+            seen = max(LOW, min(HIGH, (expected if first else 1 - expected) + SHARE * more))
+            expected = seen if first else 1 - seen
         change = k * (score - expected)
         rating[a], rating[b] = ra + change, rb - change
         last[a] = last[b] = d
         kind = "draw" if score == 0.5 else "win" if score else "loss"
         other = {"draw": "draw", "win": "loss", "loss": "win"}[kind]
+        for x, result in ((a, kind), (b, other)):
+            past[x] = [*past.get(x, ())[-2:], result]
         out.append((id_, d, a, b, ra, rb, expected, ra + change, change, kind))
         out.append((id_, d, b, a, rb, ra, 1 - expected, rb - change, -change, other))
     return pd.DataFrame(out, columns=[x.split()[0] for x in HISTORY.split(", ")])
 
 
-def rate(contests: DataFrame, component: str | None = None) -> DataFrame:
-    """History of ratings. contests: id, d, a, b, winner and optionally kind, method, round."""
+def rate(contests: DataFrame, component: str | None = None, enhanced: bool = False) -> DataFrame:
+    """History of ratings. contests: id, d, a, b, winner and optionally kind, method, round.
+
+    Enhanced ratings move the expectation of the winner by its form and by shift_a or shift_b (columns of the contest:
+    age, reach and style, as enhanced_shift() gives them).
+    """
     has = lambda c, t: F.col(c) if c in contests.columns else F.lit(None).cast(t)
     k = k_factor(has("kind", "string"), has("method", "string"), has("round", "int"))
-    group = F.col(component) if component else F.lit(0)
-    ready = contests.select(group.alias("_g"), "id", "d", "a", "b", "winner", F.coalesce(k, F.lit(32.0)).alias("k"))
-    return ready.groupBy("_g").applyInPandas(lambda x: run_contests(x), HISTORY)
+    shifts = [F.coalesce(has(c, "double"), F.lit(0.0)).alias(c) for c in ("shift_a", "shift_b")]
+    rows = contests
+    if component is None:
+        found = graph.components(contests.select("a", "b"))
+        rows = contests.join(found.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col("a") == F.col("_node"))
+    ready = rows.select(F.col(component or "_root").alias("_g"), "id", "d", "a", "b", "winner", F.coalesce(k, F.lit(32.0)).alias("k"), *shifts)
+    return ready.groupBy("_g").applyInPandas(lambda x: run_contests(x, enhanced), HISTORY)
 
 
 def peaks(history: DataFrame) -> DataFrame:

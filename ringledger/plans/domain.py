@@ -83,6 +83,17 @@ def dm4(spark, folder):
     return rated(spark, folder).select("id", r6(MK.clamp(F.col("p") + shift, 0.05, 0.95)).alias("e"))
 
 
+@query("dm5_enhanced_rating")
+def dm5(spark, folder):
+    """Sequential ratings whose expectation is moved by age, reach and form (tests/test_ratings.py has the loop)."""
+    k = F.col("s_suppkey")
+    s = table(spark, folder, "supplier").select(k.alias("k"), (20.0 + k % 25).alias("age"), (62.0 + k % 19).alias("reach"))
+    rows = contests(spark, folder).join(s.toDF("a", "age_a", "reach_a"), "a").join(s.toDF("b", "age_b", "reach_b"), "b")
+    none = F.lit(0.0)
+    shifted = rows.withColumns({"shift_a": R.enhanced_shift(F.col("age_a"), F.col("reach_a"), F.col("reach_b"), none), "shift_b": R.enhanced_shift(F.col("age_b"), F.col("reach_b"), F.col("reach_a"), none)})
+    return rating.rate(shifted, enhanced=True).select("id", "entity", r6("after").alias("after"), r6("expected").alias("expected"), "result")
+
+
 @query("dm6_ratings_peaks_and_unrated")
 def dm6(spark, folder):
     """Peaks of the rated; the others get an estimate from their record."""

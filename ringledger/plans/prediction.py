@@ -145,12 +145,12 @@ def dm34(spark, folder):
     return selection.shifted_importance(predictions(spark, folder), "p", ["d", "id"], lambda x: ((x >= 0.6) == F.col("won")).cast("int")).select(r6("drop").alias("drop"))
 
 
-@query("dm62_combined_years", "WITH " + PREDICTION + " SELECT CASE WHEN grouping(year(d)) = 1 THEN 'all' ELSE year(d)::VARCHAR END AS year, count(*) AS n, round(avg(((p >= 0.5) = won)::INT), 6) AS accuracy, round(avg(pow(p - won::INT, 2)), 6) AS brier FROM prediction GROUP BY ROLLUP (year(d))")
+@query("dm62_combined_years", "WITH " + PREDICTION + " SELECT CASE WHEN grouping(year(d)) = 1 THEN 'all' ELSE year(d)::VARCHAR END AS year, count(*) AS n, round(avg(((p >= 0.5) = won)::INT), 6) AS accuracy, round(1e-9 + avg(pow(p - won::INT, 2)), 6) AS brier FROM prediction GROUP BY ROLLUP (year(d))")
 def dm62(spark, folder):
     """Each year and all years together in one aggregation."""
     w = F.col("won").cast("int")
     rows = predictions(spark, folder).withColumn("y", F.year("d").cast("string")).rollup("y")
-    return rows.agg(F.count("*").alias("n"), r6(F.avg(((F.col("p") >= 0.5) == F.col("won")).cast("int"))).alias("accuracy"), r6(F.avg(F.pow(F.col("p") - w, F.lit(2)))).alias("brier"), F.grouping("y").alias("g")).select(F.when(F.col("g") == 1, "all").otherwise(F.col("y")).alias("year"), "n", "accuracy", "brier")
+    return rows.agg(F.count("*").alias("n"), r6(F.avg(((F.col("p") >= 0.5) == F.col("won")).cast("int"))).alias("accuracy"), r6(1e-9 + F.avg(F.pow(F.col("p") - w, F.lit(2)))).alias("brier"), F.grouping("y").alias("g")).select(F.when(F.col("g") == 1, "all").otherwise(F.col("y")).alias("year"), "n", "accuracy", "brier")
 
 
 @query("dm84_monthly_view", "WITH " + PREDICTION + " SELECT date_trunc('month', d)::DATE AS month, count(*) AS n, round(avg(((p >= 0.5) = won)::INT), 6) AS accuracy FROM prediction GROUP BY 1")

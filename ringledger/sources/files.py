@@ -54,6 +54,17 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, whole_file:
     return spark.read.schema(schema).json(path, multiLine=whole_file)
 
 
+def write_text(df: DataFrame, path: str | None = None, mode: str = "error") -> str:
+    """One string column, a line a row."""
+    path = path or scratch(df.sparkSession)
+    df.write.mode(mode).text(path)
+    return path
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path)
+
+
 def jdbc(spark: SparkSession, url: str, query: str, column: str | None = None, bounds: tuple[int, int] = (0, 0), partitions: int = 1, **options: str) -> DataFrame:
     """A query of another database; with a numeric column, read in that many ranges side by side."""
     reader = spark.read.format("jdbc").option("url", url).options(**options)
