@@ -67,7 +67,7 @@ def judge_counts(bucket: S.Bucket, length: int) -> tuple[np.ndarray, list[int]]:
     return np.array(chosen, np.int64), masks
 
 
-def remove_repeated(docs: DataFrame, window: int = 35, k: int = 8, id_col: str = "doc_id", text_col: str = "text", bundle_mb: float = 6.0) -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = 35, k: int = 8, id_col: str = "doc_id", text_col: str = "text", bundle_mb: float = 6.0, hot: int = S.HOT) -> DataFrame:
     """doc_id, text (the kept words joined by one space), n_words, n_removed for each row of `docs`."""
 
     def read(table):
@@ -85,4 +85,4 @@ def remove_repeated(docs: DataFrame, window: int = 35, k: int = 8, id_col: str =
         text = pa.array(kept, pa.binary()).cast(pa.string())
         return pa.table([table["doc_id"], text, pa.array(np.diff(texts.first), pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
-    return S.mark(docs, id_col, text_col, length=window, k=k, read=read, judge=lambda x: judge_counts(x, window), finish=finish, schema=SCHEMA, bundle_mb=bundle_mb)
+    return S.mark(docs, id_col, text_col, length=window, k=k, read=read, judge=lambda x: judge_counts(x, window), finish=finish, schema=SCHEMA, bundle_mb=bundle_mb, hot=hot)

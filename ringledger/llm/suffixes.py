@@ -171,7 +171,7 @@ def judge_owners(bucket: S.Bucket, length: int) -> tuple[np.ndarray, list[int]]:
     return every, masks.tolist()
 
 
-def remove_seen(docs: DataFrame, length: int = 50, k: int = 24, id_col: str = "doc_id", text_col: str = "text", bundle_mb: float = 6.0) -> DataFrame:
+def remove_seen(docs: DataFrame, length: int = 50, k: int = 24, id_col: str = "doc_id", text_col: str = "text", bundle_mb: float = 6.0, hot: int = S.HOT) -> DataFrame:
     """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans for each row of `docs`."""
 
     def read(table):
@@ -194,4 +194,4 @@ def remove_seen(docs: DataFrame, length: int = 50, k: int = 24, id_col: str = "d
         rest = [kept[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table([table["doc_id"], pa.array(rest, pa.binary()), *(pa.array(x, pa.int64()) for x in (np.diff(at), removed, n_spans))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return S.mark(docs, id_col, text_col, length=length, k=k, read=read, judge=lambda x: judge_owners(x, length), finish=finish, schema=SCHEMA, bundle_mb=bundle_mb)
+    return S.mark(docs, id_col, text_col, length=length, k=k, read=read, judge=lambda x: judge_owners(x, length), finish=finish, schema=SCHEMA, bundle_mb=bundle_mb, hot=hot)

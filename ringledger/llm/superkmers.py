@@ -13,7 +13,10 @@ lie in one run, as their minimisers are at different places.
 4. The bundle marks what the windows cover.
 
 Group sizes follow the input: a bucket group gets what a few megabytes of text gave, and each bundle at most one row
-for each group. A passage that a third of all texts hold is one super-k-mer a bundle.
+for each group. Inside a passage that a third of all texts hold, super-k-mers are the same in all of them: one a bundle.
+Across its border they differ from text to text while the minimiser stays the same. Step 1 sees that by a sketch of how
+many different super-k-mers a minimiser has; above a limit its windows travel one by one, dealt by a hash of the whole
+window. Equal windows have one minimiser, so that they are either all cut or all not, and meet in both cases.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ from ringledger.llm.common import U64, bundle_of, mix, parts, runs, split_blobs,
 
 #: Windows in one super-k-mer at most: the bits of a mask.
 LONGEST_RUN = 64
+#: Marks that a sketch tells apart, and how many of them make a minimiser hot: 48 of 64 are met by about 90 bundles with
+#: different super-k-mers. The limit says how windows travel, not which.
+MARKS, HOT = 64, 48
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -97,8 +103,31 @@ def find_runs(texts: Texts, length: int, k: int, groups: int) -> Runs:
     return Runs(start, count, name, ((name >> U64(32)) % U64(groups)).astype(np.int64), np.searchsorted(texts.first, start, side="right") - 1)
 
 
+def sketch(texts: Texts, found: Runs, length: int, k: int) -> np.ndarray:
+    """A hash of each super-k-mer by its two ends and its size."""
+    last = found.start + found.count + length - 1 - k
+    return mix(texts.kgrams[found.start] * U64(0x9E3779B97F4A7C15) + texts.kgrams[last] + found.count.astype(U64))
+
+
+def single_windows(texts: Texts, found: Runs, hot: np.ndarray, length: int, k: int, groups: int) -> Runs:
+    """Hot runs as runs of one window, named by the whole window."""
+    if not hot.any():
+        return found
+    rest, count = ~hot, found.count[hot]
+    which = np.repeat(np.flatnonzero(hot), count)
+    start = found.start[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    name = np.zeros(len(which), U64)
+    for at in (*range(0, length - k, k), length - k):
+        name = name * U64(0x9E3779B97F4A7C15) + texts.kgrams[start + at]
+    name = np.concatenate((found.name[rest], mix(name)))
+    start, count = np.concatenate((found.start[rest], start)), np.concatenate((found.count[rest], np.ones(len(which), np.int64)))
+    return Runs(start, count, name, ((name >> U64(32)) % U64(groups)).astype(np.int64), np.concatenate((found.owner[rest], found.owner[which])))
+
+
 ASK = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("names", pa.binary()), ("more", pa.binary())])
 ANSWER = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("bits", pa.binary())])
+MARKED_ASK = ASK.append(pa.field("marks", pa.binary()))
+MARKED_ANSWER = ANSWER.append(pa.field("hot", pa.binary()))
 SEND = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("names", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("owners", pa.binary()), ("times", pa.binary()), ("data", pa.binary())])
 EXCEPT = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("which", pa.binary()), ("masks", pa.binary())])
 SQL_OF = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
@@ -115,16 +144,22 @@ def names_by_group(found: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return (distinct >> U64(32)).astype(np.int64), (distinct & U64(0xFFFFFFFF)).astype(np.uint32), place, times
 
 
-def ask(bundle: int, found: Runs) -> pa.Table:
-    group, name, _, times = names_by_group(found)
+def ask(bundle: int, found: Runs, sketches: np.ndarray | None = None) -> pa.Table:
+    """With sketches, a name also carries a mark: that of its smallest sketch here."""
+    group, name, place, times = names_by_group(found)
     cuts = runs(group)
     heads = group[cuts[:-1]]
     more = [np.packbits(times[a:b] > 1).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table([pa.array(heads, pa.int32()), pa.array(np.full(len(heads), bundle), pa.int32()), pa.array(split_blobs(name, cuts), pa.binary()), pa.array(more, pa.binary())], schema=ASK)
+    table = pa.table([pa.array(heads, pa.int32()), pa.array(np.full(len(heads), bundle), pa.int32()), pa.array(split_blobs(name, cuts), pa.binary()), pa.array(more, pa.binary())], schema=ASK)
+    if sketches is None:
+        return table
+    least = np.full(len(name), np.iinfo(U64).max, U64)
+    np.minimum.at(least, place, sketches)
+    return table.append_column(MARKED_ASK.field("marks"), pa.array(split_blobs((least % U64(MARKS)).astype(np.uint8), cuts), pa.binary()))
 
 
-def answer(table: pa.Table) -> pa.Table:
-    """Which names of each bundle occur in another one, or twice in its own."""
+def answer(table: pa.Table, limit: int = HOT) -> pa.Table:
+    """Which names of each bundle occur in another one, or twice in its own; if asked with marks, also which have `limit` marks or more."""
     each = [np.frombuffer(x.as_py(), np.uint32) for x in table["names"]]
     more = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(n)).astype(bool) for x, n in zip(table["more"], each, strict=True)]
     whole = np.concatenate(each)
@@ -136,23 +171,36 @@ def answer(table: pa.Table) -> pa.Table:
     shared |= np.concatenate(more)
     ends = np.cumsum([len(x) for x in each])[:-1]
     bits = [np.packbits(x).tobytes() for x in np.split(shared, ends)]
-    return pa.table([table["b"], table["g"], pa.chunked_array([pa.array(bits, pa.binary())])], schema=ANSWER)
+    out = pa.table([table["b"], table["g"], pa.chunked_array([pa.array(bits, pa.binary())])], schema=ANSWER)
+    if "marks" not in table.column_names:
+        return out
+    hot = np.zeros(len(whole), bool)
+    often = np.flatnonzero(size >= limit)
+    if len(often):
+        marks = np.frombuffer(b"".join(x.as_py() for x in table["marks"]), np.uint8)[order]
+        for i in often.tolist():
+            a, b = int(cuts[i]), int(cuts[i + 1])
+            hot[order[a:b]] = np.count_nonzero(np.bincount(marks[a:b])) >= limit
+    told = [np.packbits(x).tobytes() if x.any() else None for x in np.split(hot, ends)]
+    return out.append_column(MARKED_ANSWER.field("hot"), pa.array(told, pa.binary()))
 
 
 def told_bits(group: np.ndarray, answers: pa.Table, column: str = "bits") -> np.ndarray:
     """The answers to the names of a bundle; `group` has the group of each name, in order."""
     shared = np.zeros(len(group), bool)
     for g, bits in zip(answers["g"].to_pylist(), answers[column].to_pylist(), strict=True):
+        if bits is None:
+            continue
         a, b = np.searchsorted(group, [g, g + 1])
         shared[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
     return shared
 
 
-def shared_runs(found: Runs, answers: pa.Table) -> Runs:
-    """The runs whose minimiser occurs more than once."""
+def shared_runs(found: Runs, answers: pa.Table) -> tuple[Runs, np.ndarray]:
+    """The runs whose minimiser occurs more than once, and which of them are hot."""
     group, _, place, _ = names_by_group(found)
     keep = told_bits(group, answers)[place]
-    return Runs(*(getattr(found, x)[keep] for x in ("start", "count", "name", "group", "owner")))
+    return Runs(*(getattr(found, x)[keep] for x in ("start", "count", "name", "group", "owner"))), told_bits(group, answers, "hot")[place[keep]]
 
 
 @dataclass
@@ -256,18 +304,20 @@ def covered(texts: Texts, found: Runs, own: Distinct, answers: pa.Table, length:
     return np.cumsum(cover[:-1]) > 0
 
 
-def mark(docs: DataFrame, id_col: str, text_col: str, *, length: int, k: int, read: Callable, judge: Callable, finish: Callable, schema: str, bundle_mb: float) -> DataFrame:
+def mark(docs: DataFrame, id_col: str, text_col: str, *, length: int, k: int, read: Callable, judge: Callable, finish: Callable, schema: str, bundle_mb: float, hot: int = HOT) -> DataFrame:
     """Runs the four steps. read(table) makes Texts of a bundle; finish(table, texts, covered) makes its rows of the result."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = parts(text_bytes(docs), bundle_mb)
     docs = docs.withColumn("b", bundle_of(["doc_id"], n))
 
     def asks(key, table):
-        return ask(key[0].as_py(), find_runs(read(table), length, k, n))
+        texts = read(table)
+        found = find_runs(texts, length, k, n)
+        return ask(key[0].as_py(), found, sketch(texts, found, length, k))
 
     def narrowed(table, answers):
         texts = read(table)
-        found = shared_runs(find_runs(texts, length, k, n), answers)
+        found = single_windows(texts, *shared_runs(find_runs(texts, length, k, n), answers), length, k, n)
         return texts, found, distinct(texts, found)
 
     def sends(key, table, answers):
@@ -281,8 +331,8 @@ def mark(docs: DataFrame, id_col: str, text_col: str, *, length: int, k: int, re
 
     import pyarrow.compute  # noqa: F401
 
-    told = docs.groupBy("b").applyInArrow(asks, ddl(ASK)).groupBy("g").applyInArrow(answer, ddl(ANSWER))
+    told = docs.groupBy("b").applyInArrow(asks, ddl(MARKED_ASK)).groupBy("g").applyInArrow(lambda table: answer(table, hot), ddl(MARKED_ANSWER))
     sent = docs.groupBy("b").cogroup(told.groupBy("b")).applyInArrow(sends, ddl(SEND))
     odd = sent.groupBy("g").applyInArrow(lambda table: exceptions(table, judge), ddl(EXCEPT))
-    both = told.select("b", "g", "bits", F.lit(None).cast("binary").alias("which"), F.lit(None).cast("binary").alias("masks")).unionByName(odd.select("b", "g", F.lit(None).cast("binary").alias("bits"), "which", "masks"))
+    both = told.unionByName(odd, allowMissingColumns=True)
     return docs.groupBy("b").cogroup(both.groupBy("b")).applyInArrow(final, schema)
