@@ -171,8 +171,11 @@ def judge_owners(bucket: S.Bucket, length: int) -> tuple[np.ndarray, list[int]]:
     return every, masks.tolist()
 
 
-def remove_seen(docs: DataFrame, length: int = 50, k: int = 24, id_col: str = "doc_id", text_col: str = "text", bundle_mb: float = 6.0, hot: int = S.HOT) -> DataFrame:
-    """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans for each row of `docs`."""
+def remove_seen(docs: DataFrame, length: int = 50, k: int = 24, id_col: str = "doc_id", text_col: str = "text", bundle_mb: float = 6.0, hot: int | None = None) -> DataFrame:
+    """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans for each row of `docs`.
+
+    hot = superkmers.HOT deals windows of hot minimisers one by one: smaller groups, at up to 50 bytes for each byte there.
+    """
 
     def read(table):
         texts = read_bytes(table, k)

@@ -17,6 +17,7 @@ for each group. Inside a passage that a third of all texts hold, super-k-mers ar
 Across its border they differ from text to text while the minimiser stays the same. Step 1 sees that by a sketch of how
 many different super-k-mers a minimiser has; above a limit its windows travel one by one, dealt by a hash of the whole
 window. Equal windows have one minimiser, so that they are either all cut or all not, and meet in both cases.
+Without a limit (hot = None) nothing is asked or cut, and a minimiser's super-k-mers stay in one group.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def ask(bundle: int, found: Runs, sketches: np.ndarray | None = None) -> pa.Tabl
     return table.append_column(MARKED_ASK.field("marks"), pa.array(split_blobs((least % U64(MARKS)).astype(np.uint8), cuts), pa.binary()))
 
 
-def answer(table: pa.Table, limit: int = HOT) -> pa.Table:
+def answer(table: pa.Table, limit: int | None = HOT) -> pa.Table:
     """Which names of each bundle occur in another one, or twice in its own; if asked with marks, also which have `limit` marks or more."""
     each = [np.frombuffer(x.as_py(), np.uint32) for x in table["names"]]
     more = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(n)).astype(bool) for x, n in zip(table["more"], each, strict=True)]
@@ -200,7 +201,8 @@ def shared_runs(found: Runs, answers: pa.Table) -> tuple[Runs, np.ndarray]:
     """The runs whose minimiser occurs more than once, and which of them are hot."""
     group, _, place, _ = names_by_group(found)
     keep = told_bits(group, answers)[place]
-    return Runs(*(getattr(found, x)[keep] for x in ("start", "count", "name", "group", "owner"))), told_bits(group, answers, "hot")[place[keep]]
+    hot = told_bits(group, answers, "hot") if "hot" in answers.column_names else np.zeros(len(group), bool)
+    return Runs(*(getattr(found, x)[keep] for x in ("start", "count", "name", "group", "owner"))), hot[place[keep]]
 
 
 @dataclass
@@ -304,7 +306,7 @@ def covered(texts: Texts, found: Runs, own: Distinct, answers: pa.Table, length:
     return np.cumsum(cover[:-1]) > 0
 
 
-def mark(docs: DataFrame, id_col: str, text_col: str, *, length: int, k: int, read: Callable, judge: Callable, finish: Callable, schema: str, bundle_mb: float, hot: int = HOT) -> DataFrame:
+def mark(docs: DataFrame, id_col: str, text_col: str, *, length: int, k: int, read: Callable, judge: Callable, finish: Callable, schema: str, bundle_mb: float, hot: int | None = HOT) -> DataFrame:
     """Runs the four steps. read(table) makes Texts of a bundle; finish(table, texts, covered) makes its rows of the result."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = parts(text_bytes(docs), bundle_mb)
@@ -313,7 +315,7 @@ def mark(docs: DataFrame, id_col: str, text_col: str, *, length: int, k: int, re
     def asks(key, table):
         texts = read(table)
         found = find_runs(texts, length, k, n)
-        return ask(key[0].as_py(), found, sketch(texts, found, length, k))
+        return ask(key[0].as_py(), found, None if hot is None else sketch(texts, found, length, k))
 
     def narrowed(table, answers):
         texts = read(table)
@@ -331,7 +333,8 @@ def mark(docs: DataFrame, id_col: str, text_col: str, *, length: int, k: int, re
 
     import pyarrow.compute  # noqa: F401
 
-    told = docs.groupBy("b").applyInArrow(asks, ddl(MARKED_ASK)).groupBy("g").applyInArrow(lambda table: answer(table, hot), ddl(MARKED_ANSWER))
+    asked, told_as = (ASK, ANSWER) if hot is None else (MARKED_ASK, MARKED_ANSWER)
+    told = docs.groupBy("b").applyInArrow(asks, ddl(asked)).groupBy("g").applyInArrow(lambda table: answer(table, hot), ddl(told_as))
     sent = docs.groupBy("b").cogroup(told.groupBy("b")).applyInArrow(sends, ddl(SEND))
     odd = sent.groupBy("g").applyInArrow(lambda table: exceptions(table, judge), ddl(EXCEPT))
     both = told.unionByName(odd, allowMissingColumns=True)
