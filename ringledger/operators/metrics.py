@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringledger.operators import ranks
+
 
 def scores(df: DataFrame, p: str = "p", y: str = "y", keys: Sequence[str] = ()) -> DataFrame:
     """n, accuracy, Brier score and log-loss."""
@@ -21,11 +23,10 @@ def scores(df: DataFrame, p: str = "p", y: str = "y", keys: Sequence[str] = ())
 def auc(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     """Area under the ROC curve by rank sums with average ranks of ties.
 
-    Ties are counted per distinct score first, so that the only window runs over distinct scores.
+    Ties are counted per distinct score first; distinct scores are ranked by buckets.
     """
     each = df.groupBy(p).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = each.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = ranks.with_below(each, p).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
     return sums.select(F.try_divide(F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * F.col("neg")).alias("auc"))
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ringledger.functions import markets as MK
 from ringledger.functions import ratings as R
-from ringledger.operators import asof, keyed, markets, matchups, metrics, rating, rules, splits, stats
+from ringledger.operators import asof, keyed, markets, matchups, metrics, ranks, rating, rules, splits, stats
 from ringledger.operators import history as H
 from ringledger.operators.contests import long_form
 from ringledger.plans.base import CONTEST, HISTORY, LONG, PREDICTION, Module, contests, history, predictions, r6
+from ringledger.sources.files import stored
 from ringledger.sources.tables import table
 
 M = Module()
@@ -175,7 +176,7 @@ def dm17(spark, folder):
     s = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("opponent"), (1500 + F.col("s_acctbal") / 20).alias("r"))
     o = long_form(contests(spark, folder)).join(s, "opponent").withColumn("n", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("d"), F.desc("id"))))
     a = o.groupBy("entity").agg(F.round(F.avg("r"), 4).alias("mean"), F.round(F.avg(F.when(F.col("n") <= 5, F.col("r"))), 4).alias("recent5"), F.count_if(F.col("won") & (F.col("r") >= 1650)).alias("elite_wins"))
-    return a.withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean"))))
+    return ranks.ranked(stored(a), "mean")
 
 
 @query("dm18_differentials", "WITH " + PROFILE + " SELECT x.k AS a, y.k AS b, round(x.balance - y.balance, 2) AS balance_diff, round(x.strikes - y.strikes, 2) AS strikes_diff, round(x.takedowns - y.takedowns, 2) AS takedowns_diff FROM profile x JOIN profile y ON x.g = y.g AND x.k < y.k")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ringledger.operators import history as H
-from ringledger.operators import keyed
+from ringledger.operators import keyed, ranks
 from ringledger.operators.contests import first_of_pair, long_form, ordered
 from ringledger.plans.base import CONTEST, HISTORY, LONG, Module, contests, history, r6
 from ringledger.sources.tables import table
@@ -168,9 +168,10 @@ def wn23(spark, folder):
 @query("wn24_wn25_rank_percentile", "SELECT s_suppkey, rank() OVER (ORDER BY x DESC NULLS LAST)::INT AS rank, round(100 * (1 - rank() OVER (ORDER BY x DESC NULLS LAST) / count(*) OVER ()), 6) AS percentile FROM (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN round(s_acctbal, -2) END AS x FROM supplier)")
 def wn24(spark, folder):
     x = F.when(F.col("s_acctbal") > 0, F.round("s_acctbal", -2))
-    rank = F.rank().over(Window.orderBy(F.col("x").desc_nulls_last()))
-    rows = table(spark, folder, "supplier").select("s_suppkey", x.alias("x")).withColumn("rank", rank)
-    return rows.select("s_suppkey", "rank", r6(100 * (1 - F.col("rank") / F.count("*").over(Window.partitionBy()))).alias("percentile"))
+    rows = table(spark, folder, "supplier").select("s_suppkey", x.alias("x"))
+    total = rows.agg(F.count("*").alias("total"))
+    placed = ranks.ranked(rows, "x").join(F.broadcast(total), F.lit(True))
+    return placed.select("s_suppkey", "rank", r6(100 * (1 - F.col("rank") / F.col("total"))).alias("percentile"))
 
 
 @query("wn26_first_per_key", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderdate, o_orderkey")
