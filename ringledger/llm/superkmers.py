@@ -159,7 +159,12 @@ def ask(bundle: int, found: Runs, sketches: np.ndarray | None = None) -> pa.Tabl
     return table.append_column(MARKED_ASK.field("marks"), pa.array(split_blobs((least % U64(MARKS)).astype(np.uint8), cuts), pa.binary()))
 
 
-def answer(table: pa.Table, limit: int | None = HOT) -> pa.Table:
+def answer(table: pa.Table) -> pa.Table:
+    """answer_within for asks without marks; one argument, as applyInArrow takes a second one for the key."""
+    return answer_within(table, HOT)
+
+
+def answer_within(table: pa.Table, limit: int | None) -> pa.Table:
     """Which names of each bundle occur in another one, or twice in its own; if asked with marks, also which have `limit` marks or more."""
     each = [np.frombuffer(x.as_py(), np.uint32) for x in table["names"]]
     more = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(n)).astype(bool) for x, n in zip(table["more"], each, strict=True)]
@@ -334,7 +339,7 @@ def mark(docs: DataFrame, id_col: str, text_col: str, *, length: int, k: int, re
     import pyarrow.compute  # noqa: F401
 
     asked, told_as = (ASK, ANSWER) if hot is None else (MARKED_ASK, MARKED_ANSWER)
-    told = docs.groupBy("b").applyInArrow(asks, ddl(asked)).groupBy("g").applyInArrow(lambda table: answer(table, hot), ddl(told_as))
+    told = docs.groupBy("b").applyInArrow(asks, ddl(asked)).groupBy("g").applyInArrow(lambda table: answer_within(table, hot), ddl(told_as))
     sent = docs.groupBy("b").cogroup(told.groupBy("b")).applyInArrow(sends, ddl(SEND))
     odd = sent.groupBy("g").applyInArrow(lambda table: exceptions(table, judge), ddl(EXCEPT))
     both = told.unionByName(odd, allowMissingColumns=True)

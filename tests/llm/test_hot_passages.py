@@ -24,7 +24,7 @@ def sent(data, bundles, limit, length=35, k=8):
     texts = [substrings.read_words(pa.table({"doc_id": [i for i, _ in data[b::bundles]], "text": [t for _, t in data[b::bundles]]}), k) for b in range(bundles)]
     found = [S.find_runs(t, length, k, 1) for t in texts]
     asked = pa.concat_tables([S.ask(b, f, S.sketch(t, f, length, k)) for b, (t, f) in enumerate(zip(texts, found))])
-    told = S.answer(asked, limit)
+    told = S.answer_within(asked, limit)
     names = Counter()
     for b, (t, f) in enumerate(zip(texts, found)):
         cut = S.single_windows(t, *S.shared_runs(f, told.filter(pa.array(np.array(told["b"]) == b))), length, k, 1)
