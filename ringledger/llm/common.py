@@ -1,7 +1,7 @@
 """What the training-data operators share: tables, sizes, shared storage, bundles of rows and array helpers.
 
 Bundles. Several operators must ask, for every distinct key in a text (an anchor, a word), something about all texts.
-Rows are dealt into bundles of a few megabytes by a hash of their id; a bundle sends each distinct key once, whatever
+Rows are dealt into bundles of a few megabytes by a hash of their id and text, so that rows without an id spread, too; a bundle sends each distinct key once, whatever
 its number of occurrences, so that a key held by a third of all rows costs one entry a bundle. Keys of one bundle that
 go to the same group travel as one packed row.
 """

@@ -290,7 +290,7 @@ def dedup(docs: DataFrame, width: int = 8, threshold: int = 80, id_col: str = "d
     """doc_id, text (the kept lines), n_lines (with a word), n_removed for each row of `docs`."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = parts(text_bytes(docs), bundle_mb)
-    docs = docs.withColumn("b", bundle_of(["doc_id"], n))
+    docs = docs.withColumn("b", bundle_of(["doc_id", "text"], n))
 
     def asks(key, table, same):
         own = Lines(table)

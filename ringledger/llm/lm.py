@@ -232,7 +232,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id",
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
     n = parts(text_bytes(docs), bundle_mb)
-    docs = docs.withColumn("b", bundle_of(["doc_id"], n))
+    docs = docs.withColumn("b", bundle_of(["doc_id", "text"], n))
     model = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())  # a file of fixed size
     asked = docs.groupBy("b").applyInArrow(lambda key, table: asks(key, table, n), ASK)
     groups = stored(asked.groupBy("g").applyInArrow(lambda table: gather(table, Pieces(model.value)), GROUP))

@@ -315,7 +315,7 @@ def mark(docs: DataFrame, id_col: str, text_col: str, *, length: int, k: int, re
     """Runs the four steps. read(table) makes Texts of a bundle; finish(table, texts, covered) makes its rows of the result."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = parts(text_bytes(docs), bundle_mb)
-    docs = docs.withColumn("b", bundle_of(["doc_id"], n))
+    docs = docs.withColumn("b", bundle_of(["doc_id", "text"], n))
 
     def asks(key, table):
         texts = read(table)
