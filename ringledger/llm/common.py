@@ -45,6 +45,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes what `stored` wrote for `df`, once nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a column over all rows."""
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)

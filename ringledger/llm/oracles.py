@@ -1,6 +1,6 @@
 """SQL twins (DuckDB) of those training-data queries that SQL can express on whole tables.
 
-None for 2 and 7 (their order comes from a 64-bit hash that DuckDB lacks), 5 (bytes), 6 (lattices), 10 (MinHash lines):
+None for 2 and 7 (their order comes from a 64-bit hash that DuckDB lacks), 5 (bytes), 6 (lattices), 10 (MinHash lines), 13 (a hash that DuckDB lacks):
 tests/llm holds brute-force versions.
 """
 
@@ -65,3 +65,34 @@ edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS node, doc_id AS low FROM w UNION SELECT e.b, r.low FROM reach r JOIN edges e ON e.a = r.node WHERE r.low < e.b),
 c AS (SELECT node, min(low) AS component_id FROM reach GROUP BY 1)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN c ON c.node = w.doc_id"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+p AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(ts)::BIGINT AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY t),
+x AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS c FROM p JOIN w USING (t), s),
+r AS (SELECT item_id, doc_id, sum(c)::BIGINT AS score FROM q JOIN x USING (t) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 10"""
+
+
+def op12(k: int, rounds: int, seed: str) -> str:
+    """Long form: a row for each component, and a chain of an assignment and new centroids for each round."""
+    parts = [
+        f"""v AS (SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT r, unnest(range(64)) AS i, floor(256 * unnest(e)::DOUBLE)::BIGINT AS x FROM v),
+h AS (SELECT r, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c FROM v QUALIFY c < {k}),
+c0 AS (SELECT c, i, x AS m FROM h JOIN x USING (r))"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, c, sum((x - m) * (x - m))::BIGINT AS d FROM x JOIN c{n} USING (i) GROUP BY r, c) GROUP BY r)")
+        if n < rounds:
+            # the floor of a mean, also below zero
+            parts.append(f"s{n} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS k FROM a{n} JOIN x USING (r) GROUP BY c, i)")
+            parts.append(f"c{n + 1} AS (SELECT c, i, coalesce((s - ((s % k) + k) % k) // k, m) AS m FROM c{n} LEFT JOIN s{n} USING (c, i))")
+    parts.append(f"names AS (SELECT c, sha256(string_agg(m::VARCHAR, ',' ORDER BY i)) AS name FROM c{rounds} GROUP BY c)")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, name AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN names USING (c)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringledger.llm import decontam, lines, lm, mixing, neardup, oracles, quality, sharding, substrings, suffixes, warc
+from ringledger.llm import centroids, decontam, lines, lm, mixing, neardup, oracles, quality, search, sharding, simhash, substrings, suffixes, warc
 from ringledger.llm.common import load
 
 
@@ -67,6 +67,20 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(load(spark, folder, "documents"), load(spark, folder, "benchmark"), top=10)
+
+
+def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    rows = centroids.cluster(load(spark, folder, "embeddings"), k=40, rounds=5, size=64, scale=256, seed="2")
+    return centroids.centroid_names(rows).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash.near_duplicates(load(spark, folder, "documents"), radius=2, width=3)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -78,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -86,6 +103,8 @@ SQL: dict[str, str] = {
     "op4_decontamination": oracles.OP4,
     "op8_quality_rules": oracles.op8(quality.CLOSED, quality.NOISY_WORD, quality.MENU_WORD, quality.NOTICE, quality.FEW_WORDS),
     "op9_minhash_near_dedup": oracles.OP9,
+    "op11_ranked_search": oracles.OP11,
+    "op12_centroid_clustering": oracles.op12(k=40, rounds=5, seed="2"),
 }
 
 
