@@ -12,12 +12,12 @@ def numbered(df: DataFrame, order: Sequence[str], out: str, total: str | None =
     """Adds `out`, the place of each row in order (from 1), and on demand the number of rows.
 
     Places come from counts of the order's days, so that no single task sorts all rows: a day's rows are ranked in its
-    own window, on top of the rows of all days before.
+    own window, on top of the rows of all days before. Rows without a day come first.
     """
     day = F.to_date(order[0])
     per_day = df.groupBy(day.alias("_day")).agg(F.count("*").alias("_rows"))
     above = per_day.select(F.col("_day").alias("_d"), F.coalesce(F.sum("_rows").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"), F.sum("_rows").over(Window.partitionBy()).alias("_total"))
-    ranked = df.join(above, day == F.col("_d")).withColumn(out, F.col("_above") + F.row_number().over(Window.partitionBy("_d").orderBy(*order)))
+    ranked = df.join(above, day.eqNullSafe(F.col("_d"))).withColumn(out, F.col("_above") + F.row_number().over(Window.partitionBy("_d").orderBy(*order)))
     return (ranked.withColumnRenamed("_total", total) if total else ranked.drop("_total")).drop("_d", "_above")
 
 
