@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,27 @@ def in_context(text: Column, word: str, around: int = 100) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"(?s).{{0,{around}}}{word}.{{0,{around}}}"), F.lit(0))
 
 
+def keyword_mentions(text: Column, major: Sequence[str], minor: Sequence[str], around: int = 100, name: Column | None = None) -> Column:
+    """Structs (keyword, severity, context) in the order of the words: all places of major words, of minor ones only if there is none.
+
+    With a name, a place counts if a part of the name (three letters or more) stands in its context, and in each section of it.
+    """
+    parts = F.array().cast("array<string>") if name is None else F.filter(F.split(F.lower(name), r"\s+"), lambda w: F.length(w) > 2)
+    named = lambda s: F.exists(parts, lambda w: s.contains(w))
+    relevant = lambda c: (F.size(parts) == 0) | (named(c) & F.forall(F.split(c, " \\| "), named))
+
+    def places(words: Sequence[str], severity: str) -> Column:
+        def of(w: str) -> Column:
+            told = lambda c: F.struct(F.lit(w).alias("keyword"), F.lit(severity).alias("severity"), F.trim(c).alias("context"))
+            return F.transform(F.filter(in_context(text, w, around), relevant), told)
+
+        each = [of(w) for w in words]
+        return F.concat(*each) if each else F.array().cast("array<struct<keyword:string,severity:string,context:string>>")
+
+    found = places(major, "major")
+    return F.when(F.size(found) > 0, found).otherwise(places(minor, "minor"))
+
+
 def event_score(title: Column, search: str, stop: tuple[str, ...] = ("the", "and")) -> Column:
     """Keyword hits in a title: one for each word of the search, and two more for those of four letters or more."""
     import re
