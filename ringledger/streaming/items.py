@@ -70,31 +70,6 @@ def totals(stream: DataFrame, idle_seconds: int, delay: str = "1 hour") -> DataF
     return stream.withWatermark("ts", delay).groupBy("entity").transformWithStateInPandas(Totals(idle_seconds), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 
-class FirstSeen(StatefulProcessor):
-    """Lets an entity's row pass if none has for `ttl_ms` of processing time; the state expires by itself."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.mark = handle.getValueState("mark", "at long", ttlDurationMs=self.ttl)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)
-        if not self.mark.exists():
-            self.mark.update((timerValues.getCurrentProcessingTimeInMs(),))
-            yield pd.concat(frames).sort_values(["ts", "id"])[["entity", "id", "ts"]].head(1)
-        else:
-            yield pd.DataFrame()
-
-    def close(self) -> None:
-        pass
-
-
-def first_seen(stream: DataFrame, ttl_seconds: int) -> DataFrame:
-    return stream.groupBy("entity").transformWithStateInPandas(FirstSeen(ttl_seconds * 1000), outputStructType="entity long, id long, ts timestamp", outputMode="Append", timeMode="ProcessingTime")
-
-
 def as_arrivals(items: DataFrame, files: int, home: str | None = None) -> str:
     """Writes items (entity, id, ts, won, value) as files that arrive in the order of time, and a closing item at the end; gives the folder."""
     spark = items.sparkSession
