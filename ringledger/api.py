@@ -7,20 +7,25 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringledger.functions import markets as MK
 from ringledger.functions import ratings as R
 from ringledger.functions import text as T
+from ringledger.functions import unicode
 from ringledger.operators import contests as C
 from ringledger.operators import history as H
-from ringledger.operators import keyed, learners, markets, matchups, metrics, rating, rules, splits, stats
+from ringledger.operators import cards, ensemble, fuzzy, keyed, learners, markets, matchups, metrics, production, rating, rules, splits, stages, stats
+from ringledger.operators.isotonic import Calibrator
+from ringledger.sources import bundles
+from ringledger.sources.bucketed import BucketedTable
+from ringledger.sources.files import stored
 
 
-def rate(contests: DataFrame, component: str | None = None) -> DataFrame:
-    """Rating history of both sides of every contest."""
-    return rating.rate(contests, component)
+def rate(contests: DataFrame, component: str | None = None, enhanced: bool = False) -> DataFrame:
+    """Rating history of both sides of every contest; enhanced ratings take form and shifts into account."""
+    return rating.rate(contests, component, enhanced)
 
 
 def historical_features(history: DataFrame) -> DataFrame:
@@ -122,3 +127,57 @@ def mentions(pages: DataFrame, words: Sequence[str], html: str = "html", key: st
     text = T.visible_text(F.col(html))
     found = F.array(*(F.struct(F.lit(w).alias("word"), T.in_context(F.col("text"), w, around).alias("hits")) for w in words))
     return pages.select(key, text.alias("text")).select(key, F.inline(found)).select(key, "word", F.explode("hits").alias("context"))
+
+
+def train_model(spark: SparkSession, home: str, contests: DataFrame, ratings: DataFrame) -> str:
+    """Fits, calibrates and saves a model on point-in-time features of the contests; gives the version that the pointer now names.
+
+    The first 70 % of the contests in time teach a forest, the next 15 % its calibration; the rest is left for evaluation.
+    """
+    parts = splits.by_position(contests.select("id", "d"), ["d", "id"], [("train", 0.7), ("val", 0.85), ("holdout", 1.0)]).select(F.col("id").alias("_i"), "part")
+    rows = stored(production.training_features(contests, ratings).join(parts, F.col("id") == F.col("_i")).drop("_i"))
+    train = stored(rows.filter("part = 'train'"))
+    preparation = bundles.Preparation.of(train, production.FEATURES)
+    model = ensemble.fitted(preparation.apply(train), production.FEATURES, ensemble.forest())
+    calibrator = Calibrator.fit(ensemble.scored(preparation.apply(rows.filter("part = 'val'")), model))
+    later = production.one_probability(bundles.Bundle("new", model, preparation, calibrator), rows.filter("part = 'holdout'"))
+    measures = metrics.scores(later, y="won").first().asDict()
+    return bundles.save(spark, home, model, preparation, calibrator, metrics=measures)
+
+
+def predict_card(spark: SparkSession, home: str, upcoming: DataFrame, history: DataFrame, ratings: DataFrame, penalties: DataFrame | None = None, odds: DataFrame | None = None) -> DataFrame:
+    """Picks for contests to come by the saved model, profiles as of their day, ratings and penalties; with odds, bets and stakes."""
+    bundle = bundles.load(spark, home, features=production.FEATURES)
+    rows = upcoming if "winner" in upcoming.columns else upcoming.withColumn("winner", F.lit(None).cast("long"))
+    card = cards.predicted(bundle, production.replayed_features(rows, history, ratings), rows, ratings, penalties)
+    return cards.with_bets(card, odds) if odds is not None else card
+
+
+def find_names(asked: DataFrame, known: DataFrame, asked_id: str, known_id: str, name: str = "name") -> DataFrame:
+    """The known row that each asked name means, by tiers of spelling."""
+    plain = lambda df, i: df.select(i, unicode.letters(F.col(name)).alias("name"))
+    return fuzzy.tiered(plain(asked, asked_id), plain(known, known_id), asked_id, known_id)
+
+
+def update_log(spark: SparkSession, folder: str, log: DataFrame, contests: DataFrame) -> list[int]:
+    """Writes the winners that are known now into a stored prediction log (a bucketed table keyed by a, b and d); gives the buckets rewritten."""
+    done = resolve(log.drop("winner"), contests).filter("winner is not null")
+    return BucketedTable(spark, folder).upsert(done)
+
+
+def styles(profiles: DataFrame, strikes: str = "strikes", takedowns: str = "takedowns", submissions: str = "submissions") -> DataFrame:
+    """Profiles with their style."""
+    return profiles.withColumn("style", R.style(F.col(strikes), F.col(takedowns), F.col(submissions)))
+
+
+def weekly(spark: SparkSession, home: str, plan: Sequence[stages.Stage], sources: Mapping[str, DataFrame], skip: Sequence[str] = ()) -> DataFrame:
+    """Runs the stages that aren't skipped, in order and from where the last run ended: priority, name, state."""
+    _, log = stages.run(spark, home, [s for s in plan if s.name not in set(skip)], sources)
+    return spark.createDataFrame(log, "priority int, name string, state string")
+
+
+def edges(tests: DataFrame, expected: float = 0.5) -> DataFrame:
+    """Segments (n, won, expected rate) with exact test and verdict of all safeguards: p_value, warnings, valid, usable."""
+    out = tests.withColumn("p_value", stats.binomial_two_sided("won", "n", F.lit(expected)))
+    v = stats.edge_verdict(F.col("n"), F.col("won") / F.col("n"), F.col("expected"), F.col("p_value"))
+    return out.select("*", v["warnings"].alias("warnings"), v["valid"].alias("valid"), v["usable"].alias("usable"))

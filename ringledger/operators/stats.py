@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ringledger.operators import ranks
+
 # Samples that a kind of finding needs at least.
 MIN_SAMPLES = {"overall_edge": 200, "country_edge": 100, "style_edge": 75, "weight_class_edge": 100, "statistical_test": 50}
 
@@ -21,24 +23,76 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     return F.struct(F.greatest(F.lit(0.0), (centre - half) / whole).alias("lo"), F.least(F.lit(1.0), (centre + half) / whole).alias("hi"))
 
 
+def _beta_share(p: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function by its continued fraction: some sqrt(a + b) terms, not a + b."""
+    if p <= 0 or p >= 1:
+        return float(p >= 1)
+    if p > (a + 1) / (a + b + 2):
+        return 1.0 - _beta_share(1 - p, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(p) + b * math.log1p(-p)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 - (a + b) * p / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    f, m = d, 0
+    while True:
+        m += 1
+        for x in (m * (b - m) * p / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * p / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + x * d, 1 + x / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            f *= d * c
+        if abs(d * c - 1) < 1e-15 or m > 100_000:
+            return front * f
+
+
+def _tail(k: int, n: int, p: float) -> float | None:
+    """P(X >= k) of a binomial."""
+    if n < 0 or not 0 <= p <= 1:
+        return None
+    if k <= 0:
+        return 1.0
+    if k > n or p == 0:
+        return 0.0
+    return 1.0 if p == 1 else min(1.0, _beta_share(p, k, n - k + 1))
+
+
+def _two_sided(k: int, n: int, p: float) -> float | None:
+    """The chance of all outcomes that are no more likely than k: its own tail, and the other one from where it is as unlikely."""
+    if n < 0 or not 0 <= k <= n or not 0 <= p <= 1:
+        return None
+    if p in (0, 1):
+        return float(k == n * p)
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    most = log(k) + 1e-7
+    mode = min(n, math.floor((n + 1) * p))
+    if log(mode) <= most:
+        return 1.0
+    if k < mode:
+        lo, hi = mode, n + 1  # the first i above the mode that is no more likely
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if mid > n or log(mid) <= most else (mid + 1, hi)
+        return min(1.0, 1 - _tail(k + 1, n, p) + _tail(lo, n, p))
+    lo, hi = -1, mode  # the last i below the mode that is no more likely
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if mid < 0 or log(mid) <= most else (lo, mid - 1)
+    return min(1.0, _tail(k, n, p) + (1 - _tail(lo + 1, n, p) if lo >= 0 else 0.0))
+
+
+def _each(f, *columns: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) or pd.isna(b) or pd.isna(c) else f(int(a), int(b), float(c)) for a, b, c in zip(*columns, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-    """P(X >= k) of a binomial, summed in log space."""
+    """P(X >= k) of a binomial."""
+    return _each(_tail, k, n, p)
 
-    def one(k: int, n: int, p: float) -> float | None:
-        if n < 0 or not 0 <= p <= 1:
-            return None
-        if k <= 0:
-            return 1.0
-        if k > n or p == 0:
-            return 0.0
-        if p == 1:
-            return 1.0
-        log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-        top = max(log)
-        return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in log))
 
-    return pd.Series([None if pd.isna(a) or pd.isna(b) or pd.isna(c) else one(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)], dtype="float64")
+@F.pandas_udf(DoubleType())
+def binomial_two_sided(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+    """The exact two-sided test of k successes of n against the rate p."""
+    return _each(_two_sided, k, n, p)
 
 
 def binomial_head(k: str, n: str, p: Column) -> Column:
@@ -61,14 +115,18 @@ def enough(n: Column, kind: str) -> Column:
     return F.when(n < least, "insufficient").when(n < 2 * least, "borderline").otherwise("sufficient")
 
 
-def corrected(tests: DataFrame, p: str = "p_value", alpha: float = 0.05, tie: str = "name") -> DataFrame:
-    """Adds bonferroni and holm: which tests stay significant. One row a test, so the windows are over a short list."""
-    every = Window.partitionBy()
-    n, i = F.count("*").over(every), F.row_number().over(Window.orderBy(p, tie)) - 1
-    step = F.col(p) < alpha / (n - i)
-    until = Window.orderBy(p, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = tests.withColumn("bonferroni", F.col(p) < alpha / n).withColumn("_step", step)
-    return out.withColumn("holm", F.min("_step").over(until)).drop("_step")
+def corrected(tests: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
+    """Adds bonferroni and holm: which tests stay significant, whatever their number; null without a p-value.
+
+    Holm's procedure stops at the smallest p-value that isn't below alpha / (n - smaller ones), and equal p-values stop
+    together. So ranks by buckets find that value, one number, and no task sorts all tests.
+    """
+    each = tests.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("n"))
+    total = tests.agg(F.count("*").alias("_n"))
+    placed = ranks.with_below(each, "_p").join(F.broadcast(total), F.lit(True))
+    stop = placed.agg(F.max("_n").alias("_n"), F.min(F.when(F.col("_p") >= alpha / (F.col("_n") - F.col("below")), F.col("_p"))).alias("_stop"))
+    holm = F.when(F.col(p).isNotNull(), F.coalesce(F.col(p) < F.col("_stop"), F.lit(True)))
+    return tests.join(F.broadcast(stop), F.lit(True)).withColumns({"bonferroni": F.col(p) < alpha / F.col("_n"), "holm": holm}).drop("_n", "_stop")
 
 
 def false_positives(n: Column, alpha: float = 0.05) -> Column:
@@ -93,3 +151,13 @@ def bootstrap(df: DataFrame, value: str, key: str, replicates: int = 200, seed:
     each = df.select(key, F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("_w", weight)
     means = each.groupBy("replicate").agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("mean"))
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"), F.count("*").alias("replicates"))
+
+
+def edge_verdict(n: Column, rate: Column, expected: Column, p_value: Column, least: int = MIN_SAMPLES["country_edge"], tests: int = 30, practical: float = 0.03, large: float = 0.05, alpha: float = 0.05) -> Column:
+    """Struct of warnings, valid (may be bet on), usable (as one feature of many) for an edge: samples, corrected test, size."""
+    edge = F.abs(rate - expected)
+    few = F.when(n < least, F.lit("insufficient data"))
+    chance = F.when((n >= least) & (p_value > alpha / tests), F.lit("not significant"))
+    small = F.when((n >= least) & (edge < practical), F.lit("too small"))
+    valid = (n >= least) & (p_value < alpha / tests) & (edge >= large)
+    return F.struct(F.array_compact(F.array(few, chance, small)).alias("warnings"), F.coalesce(valid, F.lit(False)).alias("valid"), (n >= least).alias("usable"))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringledger.plans import aggregates, domain, joins, modeling, names, ordering, prediction, projections, scalars, scans, storage, streams, windows
+from ringledger.plans import aggregates, domain, joins, modeling, names, ordering, prediction, projections, scalars, scans, stateful, storage, streams, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [scans.M, projections.M, joins.M, aggregates.M, windows.M, ordering.M, scalars.M, domain.M, prediction.M, modeling.M, names.M, storage.M, streams.M]
+MODULES: list = [scans.M, projections.M, joins.M, aggregates.M, windows.M, ordering.M, scalars.M, domain.M, prediction.M, modeling.M, names.M, storage.M, stateful.M, streams.M]
 
 
 def queries() -> dict[str, Query]:

@@ -6,6 +6,8 @@ frame; run() drives one to completion over stored files and reads back what it w
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ringledger.sources import pointers
 from ringledger.sources.files import scratch
 
 BASE, K = 1500.0, 32.0
@@ -83,16 +86,21 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     return stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def upsert_batches(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """Keeps a stored table up to date: each micro-batch is merged into the last version, a new version is written."""
+def upsert_batches(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], base: str | None = None, state: str | None = None) -> DataFrame:
+    """Keeps a stored table up to date: each micro-batch is merged into the last version, a new version is written.
+
+    A pointer in shared storage names the last version, so that a run with the same folders goes on where the last one
+    ended; a batch that is run again starts from the version before it.
+    """
     spark = stream.sparkSession
-    base, state, versions = scratch(spark), scratch(spark), []
+    base, state = base or scratch(spark), state or scratch(spark)
 
     def apply(batch: DataFrame, number: int) -> None:
-        path = f"{base}/v{number}"  # a batch that is run again writes the same version anew
-        old = spark.read.parquet(versions[-1]) if versions and versions[-1] != path else None
-        merge(old, batch).write.mode("overwrite").parquet(path)
-        versions.append(path)
+        at = json.loads(pointers.read(spark, f"{base}/CURRENT") or "{}")
+        last = at.get("before") if at.get("batch") == number else at.get("version")
+        path = f"{base}/v{number}_{uuid.uuid4().hex}"
+        merge(spark.read.parquet(last) if last else None, batch).write.parquet(path)
+        pointers.replace(spark, f"{base}/CURRENT", json.dumps({"batch": number, "version": path, "before": last}))
 
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(versions[-1])
+    return spark.read.parquet(json.loads(pointers.read(spark, f"{base}/CURRENT"))["version"])

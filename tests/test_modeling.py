@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringledger.operators import ensemble, importance, production
+from ringledger.operators import cards, ensemble, importance, production
 from ringledger.operators.isotonic import Calibrator
 from ringledger.sources import bundles, pointers
 from ringledger.sources.files import scratch, stored
@@ -224,3 +224,36 @@ def test_profiles_by_hand(spark):
             assert row["label"] == float(c["winner"] == x)
         for e in (c["a"], c["b"]):
             seen[e].append(c["winner"] == e)
+
+
+def test_card_by_hand(spark):
+    """The blend, the penalty shift and the bets of a card against the formulas in plain Python."""
+    contests = contest_rows(spark, 60)
+    ratings = spark.createDataFrame([(e, 1500.0 + 30 * e) for e in range(11)], "entity long, rating double")
+    penalties = spark.createDataFrame([(1, 40.0), (3, 500.0)], "entity long, penalty double")
+    rows = stored(production.training_features(contests, ratings))
+    preparation = bundles.Preparation.of(rows, production.FEATURES)
+    bundle = bundles.Bundle("x", ensemble.fitted(preparation.apply(rows), production.FEATURES, ensemble.forest(6, 3)), preparation, Calibrator([0.0, 1.0], [0.0, 1.0]))
+    some = rows.filter("id < 50")  # the others have no features
+    said = {r["id"]: r for r in production.one_probability(bundle, some).collect()}
+    gaps = {r["id"]: sum(r[c] is None for c in production.FEATURES) for r in some.filter("not swapped").collect()}
+    card = stored(cards.predicted(bundle, some, contests, ratings, penalties))
+    rating = lambda e: 1500.0 + 30 * e if e < 11 else 1500.0
+    clamp = lambda x, lo, hi: max(lo, min(hi, x))
+    pen = {1: 40.0, 3: 500.0}
+    got = card.collect()
+    assert len(got) == 60
+    for r in got:
+        q = 1 / (1 + 10 ** ((rating(r["b"]) - rating(r["a"])) / 400))
+        p = q
+        if r["id"] in said:
+            s = said[r["id"]]
+            w = clamp(0.5 - 0.08 * gaps[r["id"]] - 0.6 * max(s["symmetry"] - 0.2, 0), 0.15, 0.5) if s["symmetry"] <= 0.6 and gaps[r["id"]] <= 6 else 0
+            p = w * s["p"] + (1 - w) * q
+            assert r["weighted"] == (w > 0) and r["model_p"] == s["p"]
+        p = clamp(clamp(p, 0.1, 0.9) - min(pen.get(r["a"], 0) / 800, 0.1) + min(pen.get(r["b"], 0) / 800, 0.1), 0.1, 0.9)
+        assert r["p"] == pytest.approx(p) and r["pick"] == (r["a"] if r["p"] >= 0.5 else r["b"])
+    odds = spark.createDataFrame([(i, 3.0, 1.4) for i in range(30)], "id long, decimal_a double, decimal_b double")
+    for r in cards.with_bets(card, odds).collect():
+        side = None if r["id"] >= 30 else "a" if r["p"] - 1 / 3 > 0.05 else "b" if 1 - r["p"] - 1 / 1.4 > 0.05 else None
+        assert r["bet_on"] == side and (r["stake"] is None) == (side is None) and (side is None or 0 <= r["stake"] <= 0.05)
