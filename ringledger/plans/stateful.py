@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ringledger.functions import pages as PG
-from ringledger.operators import keyed, progress, stages, stats
+from ringledger.functions import ratings as R
+from ringledger.operators import keyed, markets, progress, resolution, stages, stats
 from ringledger.plans.base import PREDICTION, Module, predictions, r6
 from ringledger.plans.domain import RATED, rated
 from ringledger.sources.bucketed import BucketedTable
@@ -132,3 +133,57 @@ def dm58(spark, folder):
     t = s.withColumn("pv", stats.binomial_two_sided("k", "n", "expected"))
     found = (F.col("n") < 20).cast("int") + (F.col("pv") > 0.05 / 20).cast("int") + (F.abs(rate - F.col("expected")) < 0.03).cast("int") + (rate - F.col("expected") - 1.96 * F.sqrt(rate * (1 - rate) / F.col("n")) < 0).cast("int")
     return t.select("kind", "month", "n", r6("pv").alias("p_value"), found.alias("warnings"))
+
+
+_WORDS = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ('the', 'and', 'vs'))))"
+
+
+@query("dm63_events_by_tiers", f"""WITH k AS (SELECT min(p_partkey) AS id, ws FROM (SELECT p_partkey, {_WORDS.format('p_name')} AS ws FROM part) WHERE len(ws) > 0 GROUP BY ws),
+a AS (SELECT item_id, CASE WHEN item_id % 4 = 0 THEN item_id END AS asked, {_WORDS.format("CASE item_id % 4 WHEN 1 THEN (SELECT any_value(p_name) FROM part WHERE p_partkey = item_id) ELSE concat('vs. RED bolt the ', item_id, ' ', left(text, 30)) END")} AS ws FROM benchmark),
+c AS (SELECT item_id, 1 AS tier, 0 AS score, p_partkey AS id FROM a JOIN part ON asked = p_partkey UNION ALL SELECT item_id, 2, 0, k.id FROM a JOIN k ON a.ws = k.ws
+ UNION ALL SELECT * FROM (SELECT item_id, 3, list_sum(list_transform(list_intersect(a.ws, k.ws), lambda w: CASE WHEN length(w) >= 4 THEN 3 ELSE 1 END))::INTEGER AS score, k.id FROM a, k) WHERE score >= 4),
+b AS (SELECT item_id, arg_min({{'tier': tier, 'score': score, 'id': id}}, (tier, -score, id)) AS m FROM c GROUP BY 1)
+SELECT a.item_id, m.tier AS tier, m.score AS score, m.id AS event_id FROM a LEFT JOIN b ON a.item_id = b.item_id""")
+def dm63(spark, folder):
+    """Asked events in three ways: by a part's key, by its whole name, by words of which some are a part's."""
+    known = table(spark, folder, "part").select(F.col("p_partkey").alias("event_id"), F.col("p_name").alias("title"))
+    turn = F.pmod("item_id", F.lit(4))
+    asked = table(spark, folder, "benchmark").join(known.toDF("_p", "_title"), F.col("item_id") == F.col("_p"), "left")
+    loose = F.concat(F.lit("vs. RED bolt the "), F.col("item_id").cast("string"), F.lit(" "), F.left("text", F.lit(30)))
+    asked = asked.select("item_id", F.when(turn == 0, F.col("item_id")).alias("event_id"), F.when(turn == 1, F.col("_title")).otherwise(loose).alias("title"))
+    return resolution.events(asked, known, "item_id")
+
+
+@query("ud4_caller_strategies", "WITH " + RATED + """, o AS (SELECT won, p, greatest(1.05, 1 + (id % 40) / 10.0::DOUBLE) AS da, greatest(1.05, 1 + (id % 37) / 10.0::DOUBLE) AS db FROM q),
+s AS (SELECT 'favourite' AS strategy, CASE WHEN p >= 0.5 THEN da ELSE db END AS dec, CASE WHEN p >= 0.5 THEN won ELSE NOT won END AS hit FROM o
+ UNION ALL SELECT 'value', CASE WHEN p * da - 1 > 0.1 THEN da ELSE db END, CASE WHEN p * da - 1 > 0.1 THEN won ELSE NOT won END FROM o WHERE p * da - 1 > 0.1 OR (1 - p) * db - 1 > 0.1
+ UNION ALL SELECT 'underdog above two', da, won FROM o WHERE p < 0.4 AND da > 2)
+SELECT strategy, count(*) AS n, round(avg(hit::INT), 6) AS rate, round(sum(CASE WHEN hit THEN dec - 1 ELSE -1 END), 4) AS profit, round(sum(CASE WHEN hit THEN dec - 1 ELSE -1 END) / count(*), 6) AS roi FROM s GROUP BY 1""")
+def ud4(spark, folder):
+    """Strategies are functions of the caller that give a bet or null for a row; all are evaluated in one pass."""
+    rows = rated(spark, folder).select("won", "p", F.greatest(F.lit(1.05), 1 + F.pmod("id", F.lit(40)) / 10.0).alias("da"), F.greatest(F.lit(1.05), 1 + F.pmod("id", F.lit(37)) / 10.0).alias("db"))
+    p, da, db = F.col("p"), F.col("da"), F.col("db")
+    bet = lambda side, decimal: F.struct(F.lit(side).alias("side"), decimal.alias("decimal"))
+    own = {
+        "favourite": lambda: F.when(p >= 0.5, bet("a", da)).otherwise(bet("b", db)),
+        "value": lambda: F.when(p * da - 1 > 0.1, bet("a", da)).when((1 - p) * db - 1 > 0.1, bet("b", db)),
+        "underdog above two": lambda: F.when((p < 0.4) & (da > 2), bet("a", da)),
+    }
+    out = markets.by_strategy(rows, own)
+    return out.select("strategy", "n", r6("rate").alias("rate"), F.round("profit", 4).alias("profit"), r6("roi").alias("roi"))
+
+
+@query("snk23_checks_written", """WITH c AS (SELECT s_suppkey AS entity, s_nationkey AS days, 1500 + s_acctbal / 20 AS rating, CASE WHEN s_nationkey % 3 = 0 THEN 'major' WHEN s_nationkey % 3 = 1 THEN 'minor' END AS severity FROM supplier),
+p AS (SELECT *, CASE severity WHEN 'major' THEN 82 WHEN 'minor' THEN 37 ELSE 0 END AS penalty FROM c) SELECT entity, 2::BIGINT AS checks, severity, penalty, round(rating - penalty, 6) AS adjusted FROM p""")
+def snk23(spark, folder):
+    """Two runs of checks: each is appended to the log, the profile gets the last penalty and the adjusted rating by an upsert."""
+    s = table(spark, folder, "supplier").select(F.col("s_suppkey").cast("long").alias("entity"), F.col("s_nationkey").alias("days"), (1500 + F.col("s_acctbal") / 20).alias("rating"))
+    kind = F.when(F.col("days") % 3 == 0, "major").when(F.col("days") % 3 == 1, "minor")
+    log = scratch(spark)
+    profile = BucketedTable.create(s.select("entity", "rating", F.lit(None).cast("string").alias("severity"), F.lit(0).alias("penalty"), F.col("rating").alias("adjusted")), scratch(spark), ["entity"], 8)
+    for turn in (1, 2):
+        checks = s.select("entity", "rating", F.lit(turn).alias("turn"), kind.alias("severity"), R.injury_penalty(kind, F.col("days")).alias("penalty"))
+        checks.drop("rating").write.mode("append").parquet(log)
+        profile.upsert(checks.select("entity", "rating", "severity", "penalty", (F.col("rating") - F.col("penalty")).alias("adjusted")))
+    seen = spark.read.parquet(log).groupBy(F.col("entity").alias("_e")).agg(F.count("*").alias("checks"))
+    return profile.read().join(seen, F.col("entity") == F.col("_e")).select("entity", "checks", "severity", "penalty", r6("adjusted").alias("adjusted"))
