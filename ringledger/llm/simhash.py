@@ -122,7 +122,8 @@ def signed(mask: int) -> int:
 
 
 def sharded(distinct: DataFrame, radius: int, most: int) -> DataFrame:
-    """mask, value, fp: the shards with two fingerprints or more and at most `most`."""
+    """mask, value, fp: the shards with two fingerprints or more and at most `most` (2 ** radius at least, which bits are left to tell apart)."""
+    most = max(most, 1 << radius)  # with no more free bits than the radius, parts no longer tell links
     wide = [0]
     placed = distinct.select(F.lit(0).cast("long").alias("mask"), "fp")
     done = None

@@ -100,3 +100,28 @@ def test_empty_table_and_clashing_names(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     odd = spark.createDataFrame([(1, "a b c d", 5, 6), (2, "a b c d", 7, 8), (None, None, 0, 0), (9, "", 0, 0)], "doc_id long, text string, fp int, component_id int")
     assert found(simhash.near_duplicates(odd)) == plain_components([(1, "a b c d"), (2, "a b c d"), (None, None), (9, "")])
+
+
+def test_dense_fingerprints_in_the_smallest_shards(spark):
+    """All patterns of five bits, and some far from them: shards are dealt again until few bits are left, and no link is lost."""
+    fps = [x << 20 for x in range(32) if x.bit_count() % 2 == 0] + [(1 << 40) + (1 << 50), (1 << 62) + 3 * (1 << 30)]
+    links = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), 2, most=1).collect()]
+    assert all((a ^ b).bit_count() <= 2 for a, b in links)
+    group = lambda pairs: {frozenset(x) for x in joined(fps, pairs)}
+    assert group(links) == group([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2])
+
+
+def joined(nodes, pairs):
+    up = {x: x for x in nodes}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[top(a)] = top(b)
+    out = {}
+    for x in nodes:
+        out.setdefault(top(x), []).append(x)
+    return out.values()
