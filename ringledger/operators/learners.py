@@ -12,7 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringledger.operators import metrics
+from ringledger.operators import ensemble, metrics
 from ringledger.sources.files import stored
 
 
@@ -31,6 +31,7 @@ def compare(df: DataFrame, columns: Sequence[str], label: str, part: str = "part
     out = None
     for name, learner in learners().items():
         model = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), learner]).fit(by["train"])
+        ensemble.without_summary(model)
         scored = {x: model.transform(by[x]).withColumn("p", vector_to_array("probability")[1]) for x in ("val", "holdout")}
         isotonic = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="q").fit(scored["val"])
         calibrated = isotonic.transform(scored["holdout"]).withColumn("p", F.greatest(F.lit(0.10), F.least(F.lit(0.90), F.col("q"))))

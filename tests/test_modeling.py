@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringledger.operators import cards, ensemble, importance, production
+from ringledger.operators import cards, ensemble, importance, production, progress
 from ringledger.operators.isotonic import Calibrator
 from ringledger.sources import bundles, pointers
 from ringledger.sources.files import scratch, stored
@@ -257,3 +257,13 @@ def test_card_by_hand(spark):
     for r in cards.with_bets(card, odds).collect():
         side = None if r["id"] >= 30 else "a" if r["p"] - 1 / 3 > 0.05 else "b" if 1 - r["p"] - 1 / 1.4 > 0.05 else None
         assert r["bet_on"] == side and (r["stake"] is None) == (side is None) and (side is None or 0 <= r["stake"] <= 0.05)
+
+
+def test_models_go_to_executors_after_an_observation(spark):
+    """An observation gives the session a part that can't be sent; fitted models must not hold the session."""
+    seen, counted = progress.observed(spark.range(3), "before", n=F.count(F.lit(1)))
+    seen.write.format("noop").mode("overwrite").save()
+    assert counted.get == {"n": 3}
+    rows = rows_of(spark, 60)
+    for learner in (ensemble.logistic(120), ensemble.forest(4, 2), ensemble.boosted(3, 2)):
+        assert ensemble.scored(rows, ensemble.fitted(rows, COLUMNS, learner)).groupBy((F.col("p") > 0.5).alias("x")).count().count() >= 1
