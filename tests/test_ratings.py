@@ -3,6 +3,8 @@
 import datetime
 import random
 
+import pyarrow as pa
+
 from ringledger.operators import graph, rating
 
 
@@ -58,3 +60,21 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 9), (7, 8), (3, 1), (20, 10), (10, 30)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 9: 9, 7: 7, 8: 7, 10: 10, 20: 10, 30: 10}
+
+
+def test_the_kernel_holds_no_contests():
+    """A component of many batches gives each batch's ratings before it asks for the next one."""
+    read = []
+
+    def batches():
+        for n in range(40):
+            read.append(n)
+            ids = range(n * 50, n * 50 + 50)
+            columns = {"_g": [1] * 50, "id": list(ids), "d": [datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=i) for i in ids], "a": [1] * 50, "b": [2] * 50, "score": [1.0] * 50, "k": [32.0] * 50, "shift_a": [0.0] * 50, "shift_b": [0.0] * 50}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    made = rating.run_contests(batches())
+    first = next(made)
+    assert first.num_rows == 50 and read == [0]
+    rest = list(made)
+    assert sum(b.num_rows for b in rest) == 1950 and rest[0].column("ra")[0].as_py() == first.column("ra")[49].as_py() + first.column("change")[49].as_py()
