@@ -78,3 +78,11 @@ def test_the_kernel_holds_no_contests():
     assert first.num_rows == 50 and read == [0]
     rest = list(made)
     assert sum(b.num_rows for b in rest) == 1950 and rest[0].column("ra")[0].as_py() == first.column("ra")[49].as_py() + first.column("change")[49].as_py()
+
+
+def test_links_that_close_a_cycle_go_before_the_rounds():
+    r = random.Random(3)
+    links = [(r.randrange(30), r.randrange(30)) for _ in range(2000)] + [(77, 77), (77, 77)]
+    batch = lambda x: pa.RecordBatch.from_pydict({"u": [max(y) for y in x], "v": [min(y) for y in x]})
+    kept = [(row["u"], row["v"]) for b in graph.forest(batch(links[i : i + 100]) for i in range(0, len(links), 100)) for row in b.to_pylist()]
+    assert len(kept) <= 31 and kept.count((77, 77)) == 1 and {x for link in kept for x in link} == {x for link in links for x in link}
