@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,8 +120,30 @@ def links(html: Column) -> Column:
 
 
 def in_context(text: Column, word: str, around: int = 100) -> Column:
-    """All occurrences of a word with what stands around them."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"(?s).{{0,{around}}}{word}.{{0,{around}}}"), F.lit(0))
+    """All occurrences of a word with what stands around them.
+
+    What the pattern .{0,around}word.{0,around} finds, by searches for the word: the pattern itself tries every place of
+    the text with every length before it.
+    """
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else contexts(t, word, around))
+
+    low = F.lower(text)
+    told = found(F.when(low.contains(word), low))  # texts without the word stay where they are
+    return F.when(low.isNotNull(), F.coalesce(told, F.array().cast("array<string>")))
+
+
+def contexts(text: str, word: str, around: int) -> list[str]:
+    """Of each place: from `around` characters before the next word (or where the place before ended) to as many after the last word that starts no later than it may."""
+    out, at = [], 0
+    while (first := text.find(word, at)) >= 0:
+        start = max(at, first - around)
+        last = text.rfind(word, start, start + around + len(word))
+        at = last + len(word) + around
+        out.append(text[start:at])
+    return out
 
 
 def keyword_mentions(text: Column, major: Sequence[str], minor: Sequence[str], around: int = 100, name: Column | None = None) -> Column:

@@ -1,6 +1,8 @@
 """Fuzzy names, Unicode names, keyword places and Python's rounding, against plain Python."""
 
 import random
+import re
+import time
 import unicodedata
 
 import pytest
@@ -106,3 +108,20 @@ def test_rounding_equals_python(spark):
             want = x if x is None or abs(x) == float("inf") else round(x, digits)
             assert y == want and str(y) == str(float(want) if want is not None else None), (x, digits, y, want)
     assert str(spark.sql("select double('NaN') x").select(numbers.python_round(F.col("x"), 2)).first()[0]) == "nan"
+
+
+def test_contexts_are_the_patterns_and_fast():
+    r = random.Random(4)
+    for _ in range(3000):
+        text = "".join(r.choice(["a", "b", "ab", "\n", "é", "\U0001f600", "lic", "aa"]) for _ in range(r.randrange(40)))
+        word, n = r.choice(["ab", "aa", "lic", "aba"]), r.randrange(6)
+        assert T.contexts(text, word, n) == re.findall(f"(?s).{{0,{n}}}{word}.{{0,{n}}}", text)
+    began = time.process_time()
+    assert len(T.contexts("no " * 3_000_000 + "license", "license", 100)) == 1
+    assert time.process_time() - began < 1  # the pattern takes half a minute
+
+
+def test_contexts_of_a_column(spark):
+    df = spark.createDataFrame([(1, "A License here"), (2, "none"), (3, None), (4, "license " * 40)], "id long, t string")
+    got = {x["id"]: x["c"] for x in df.select("id", T.in_context(F.col("t"), "license", 20).alias("c")).collect()}
+    assert got == {1: ["a license here"], 2: [], 3: None, 4: re.findall("(?s).{0,20}license.{0,20}", "license " * 40)}
