@@ -103,10 +103,12 @@ def src17(spark, folder):
     lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", row.alias("r")))).alias("rs"))  # the lines of an order
     made = lines.select("l_orderkey", F.concat(F.lit("<html><body><p>Card</p></div><table class=card>"), F.array_join("rs.r", ""), F.lit("</table></body>")).alias("html"))
     rows = PG.table_rows(made, "l_orderkey", "html")
-    # rows of a page are told apart by its key and table, so that a nested table meets the row it stands in
-    outer = rows.filter("parent is null").select("l_orderkey", F.col("row").alias("n"), F.col("cells")[0].alias("red"), F.col("cells")[1].alias("blue"))
-    told = rows.filter("parent = 0 and row = 1").select(F.col("l_orderkey").alias("_k"), F.col("parent_row").alias("_r"), F.col("cells")[0].alias("winner"), F.col("cells")[1].alias("method"), F.col("cells")[2].cast("int").alias("round"))
-    return outer.join(told, (F.col("l_orderkey") == F.col("_k")) & (F.col("n") == F.col("_r"))).drop("_k", "_r")
+    # pages are parsed once: a nested table meets the row it stands in by the page's key and that row
+    here = F.when(F.col("parent").isNull(), F.col("row")).otherwise(F.col("parent_row"))
+    kept = rows.filter("parent is null or (parent = 0 and row = 1)").withColumn("n", here)
+    outer, told = (F.max(F.when(which, F.col("cells"))) for which in (F.col("parent").isNull(), F.col("parent").isNotNull()))
+    each = kept.groupBy("l_orderkey", "n").agg(outer.alias("o"), told.alias("t")).filter("o is not null and t is not null")
+    return each.select("l_orderkey", "n", F.col("o")[0].alias("red"), F.col("o")[1].alias("blue"), F.col("t")[0].alias("winner"), F.col("t")[1].alias("method"), F.col("t")[2].cast("int").alias("round"))
 
 
 _PMF = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({0}) + (n - i) * ln(1 - {0}))"

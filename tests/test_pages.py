@@ -1,12 +1,14 @@
 """The tokenizer of pages on well-formed and broken ones, and exact binomial tests."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from ringledger.functions.pages import Page, fields, table_rows
+from ringledger.functions.pages import PLAIN, Page, fields, table_rows
 from ringledger.operators import stats
+from ringledger.plans import registry
 
 
 def test_texts_of_elements():
@@ -61,3 +63,26 @@ def test_edge_verdicts(spark):
     df = spark.createDataFrame([(10, 0.9, 0.5, 1e-9), (200, 0.7, 0.5, 1e-9), (200, 0.51, 0.5, 0.4), (200, 0.54, 0.5, 1e-9)], "n int, r double, e double, p double")
     v = stats.edge_verdict(F.col("n"), F.col("r"), F.col("e"), F.col("p"))
     assert [(r[0], r[1], r[2]) for r in df.select(v["warnings"], v["valid"], v["usable"]).collect()] == [(["insufficient data"], False, False), ([], True, True), (["not significant", "too small"], False, True), ([], False, True)]
+
+
+def slow(html):
+    page = Page()
+    page._plain = lambda x: (page.feed(x), page.close())
+    return page.finish(html)
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it():
+    r = random.Random(8)
+    bits = ["<table>", "<table class=card>", "<TR>", "<td>", "</td>", "</tr>", "</table>", "<th>", "<b>", "</b>", "<br>", "<p class=\"a b\">", "</p>", "x", " y\n", "<div Class='q'>", "</div >", "&amp;", "<!-- c -->", "<script>1<2</script>", "<", ">", "<a href=x/>", "</p class=z>", "<title>a<b>", "<td class=\"\">"]
+    plain = 0
+    for i in range(6000):
+        html = "".join(r.choices(bits[: 15 if i % 2 else None], k=r.randrange(25)))
+        a, b = Page().finish(html), slow(html)
+        plain += bool(PLAIN.fullmatch(html))
+        assert (a.rows, a.closed) == (b.rows, b.closed), html
+    assert plain > 2500
+
+
+def test_card_pages_are_parsed_once(spark):
+    card = registry.queries()["src17_src21_card_of_page"](spark, "/root/testdata/sf0.001")
+    assert card._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
