@@ -31,3 +31,10 @@ def python_round(x: Column, digits: int = 0) -> Column:
     rounded = whole / scale
     fits = (size * scale < float(2**53)) & ~F.isnan(x)
     return F.when(~fits | x.isNull() | (size == 0), x).when(x < 0, -rounded).otherwise(rounded)
+
+
+def mean4(total: Column, n: Column) -> Column:
+    """The mean of `n` whole ten-millionths that sum to `total` (decimals without places), to four decimals, half away from zero; null of none."""
+    twice = 2000 * F.nullif(n, F.lit(0)).cast("decimal(12,0)")
+    up = (2 * F.abs(total) + twice / 2).cast("decimal(38,0)")
+    return F.signum(total) * F.call_function("div", up, twice) / 10000.0

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ringledger.functions import markets as MK
+from ringledger.functions import numbers
 from ringledger.functions import ratings as R
 from ringledger.operators import asof, keyed, markets, matchups, metrics, ranks, rating, rules, splits, stats
 from ringledger.operators import history as H
@@ -170,12 +171,20 @@ def dm16(spark, folder):
     return table(spark, folder, "supplier").filter("s_acctbal > 0").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(50).select("s_suppkey")
 
 
-@query("dm17_schedule_strength", "WITH " + LONG + """, o AS (SELECT entity, won, 1500 + s_acctbal / 20 AS r, row_number() OVER (PARTITION BY entity ORDER BY d DESC, id DESC) AS n FROM side JOIN supplier ON opponent = s_suppkey),
-a AS (SELECT entity, round(avg(r), 4) AS mean, round(avg(r) FILTER (n <= 5), 4) AS recent5, count(*) FILTER (won AND r >= 1650) AS elite_wins FROM o GROUP BY 1) SELECT *, rank() OVER (ORDER BY mean DESC)::INT AS rank FROM a""")
+# A mean to four decimals, half up, from whole ten-millionths, as their sum and number: in any order of summing the same.
+_MEAN4 = "(sign({0}) * ((2 * abs({0}) + 1000 * {1}) // (2000 * {1})))::DOUBLE / 10000"
+
+
+@query("dm17_schedule_strength", "WITH " + LONG + f""", o AS (SELECT entity, won, 1500 + s_acctbal / 20 AS r, round((1500 + s_acctbal / 20) * 10000000)::BIGINT::HUGEINT AS u, row_number() OVER (PARTITION BY entity ORDER BY d DESC, id DESC) AS n FROM side JOIN supplier ON opponent = s_suppkey),
+t AS (SELECT entity, sum(u)::HUGEINT AS s, count(u)::HUGEINT AS c, (sum(u) FILTER (n <= 5))::HUGEINT AS s5, (count(u) FILTER (n <= 5))::HUGEINT AS c5, count(*) FILTER (won AND r >= 1650) AS elite_wins FROM o GROUP BY 1),
+a AS (SELECT entity, {_MEAN4.format('s', 'nullif(c, 0)')} AS mean, {_MEAN4.format('s5', 'nullif(c5, 0)')} AS recent5, elite_wins FROM t) SELECT *, rank() OVER (ORDER BY mean DESC)::INT AS rank FROM a""")
 def dm17(spark, folder):
+    """Mean rating of the opponents, of all and of the last five; rounded exactly, since ranks tie on it."""
     s = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("opponent"), (1500 + F.col("s_acctbal") / 20).alias("r"))
     o = long_form(contests(spark, folder)).join(s, "opponent").withColumn("n", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("d"), F.desc("id"))))
-    a = o.groupBy("entity").agg(F.round(F.avg("r"), 4).alias("mean"), F.round(F.avg(F.when(F.col("n") <= 5, F.col("r"))), 4).alias("recent5"), F.count_if(F.col("won") & (F.col("r") >= 1650)).alias("elite_wins"))
+    u = F.round(F.col("r") * 10000000).cast("long").cast("decimal(20,0)")
+    last = F.when(F.col("n") <= 5, u)
+    a = o.groupBy("entity").agg(numbers.mean4(F.sum(u), F.count(u)).alias("mean"), numbers.mean4(F.sum(last), F.count(last)).alias("recent5"), F.count_if(F.col("won") & (F.col("r") >= 1650)).alias("elite_wins"))
     return ranks.ranked(stored(a), "mean")
 
 
