@@ -267,3 +267,10 @@ def test_models_go_to_executors_after_an_observation(spark):
     rows = rows_of(spark, 60)
     for learner in (ensemble.logistic(120), ensemble.forest(4, 2), ensemble.boosted(3, 2)):
         assert ensemble.scored(rows, ensemble.fitted(rows, COLUMNS, learner)).groupBy((F.col("p") > 0.5).alias("x")).count().count() >= 1
+
+
+def test_learners_go_over_partitions_of_bounded_size(spark):
+    rows = spark.range(1000, numPartitions=2).withColumn("x", F.rand(1))
+    parts = ensemble.spread(rows, per=100)
+    assert parts.rdd.getNumPartitions() == 10 and sorted(r["id"] for r in parts.select("id").collect()) == list(range(1000))
+    assert ensemble.spread(rows, per=100_000).rdd.getNumPartitions() == 2
