@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ringledger.operators import metrics, rules
+from ringledger.operators import metrics, ranks, rules
 from ringledger.operators.contests import collapse_sides, long_form
 from ringledger.plans.base import CONTEST, HISTORY, LONG, PREDICTION, Module, contests, history, predictions, r6
 from ringledger.sources.tables import table
@@ -136,7 +136,8 @@ def ag24(spark, folder):
 @query("ag26_ag27_percentiles", "SELECT round(quantile_cont(o_totalprice, 0.01), 6) AS lo, round(quantile_cont(o_totalprice, 0.99), 6) AS hi, round(median(o_totalprice), 6) AS mid FROM orders")
 def ag26(spark, folder):
     x = "o_totalprice"
-    return table(spark, folder, "orders").agg(r6(F.percentile(x, F.lit(0.01))).alias("lo"), r6(F.percentile(x, F.lit(0.99))).alias("hi"), r6(F.median(x)).alias("mid"))
+    found = ranks.percentiles(table(spark, folder, "orders"), {"lo": (x, 0.01), "hi": (x, 0.99), "mid": (x, 0.5)})
+    return found.select(*(r6(c).alias(c) for c in found.columns))
 
 
 @query("ag28_correlations", "SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 6) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', round(corr(l_extendedprice, l_discount), 6) FROM lineitem")

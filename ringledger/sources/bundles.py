@@ -19,8 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringledger.operators import ranks
 from ringledger.operators.isotonic import Calibrator
-from ringledger.operators.metrics import winsor_bounds
 from ringledger.sources import pointers
 
 
@@ -34,7 +34,7 @@ class Preparation:
 
     @classmethod
     def of(cls, train: DataFrame, features: Sequence[str], low: float = 0.01, high: float = 0.99) -> Preparation:
-        row = winsor_bounds(train, features, low, high).join(train.agg(*(F.median(c).alias(f"{c}_median") for c in features))).first()  # one row
+        row = ranks.percentiles(train, {f"{c}_{n}": (c, q) for c in features for n, q in (("lo", low), ("hi", high), ("median", 0.5))}).first()
         bounds = {c: (row[f"{c}_lo"], row[f"{c}_hi"]) for c in features if row[f"{c}_lo"] is not None}
         return cls(tuple(features), bounds, {c: 0.0 if row[f"{c}_median"] is None else float(row[f"{c}_median"]) for c in features})
 
