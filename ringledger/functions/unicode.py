@@ -32,3 +32,14 @@ def plain_name(x: Column) -> Column:
 def letters(x: Column) -> Column:
     """Lower case ASCII letters and blanks only, single blanks; for comparing names."""
     return squeezed(F.regexp_replace(F.lower(unmarked(x)), r"[^a-z\s]", ""))
+
+
+def leading(x: Column, n: int, head: int = 100) -> Column:
+    """The first n words of letters(x), joined by a blank.
+
+    Decomposition goes letter by letter, so that a head of the text in which n + 1 words have ASCII letters is enough;
+    only the other texts go through whole.
+    """
+    start = F.left(x, F.lit(head))
+    enough = start.rlike(rf"^(?:[^A-Za-z]*[A-Za-z]\S*\s){{{n}}}[^A-Za-z]*[A-Za-z]")
+    return F.array_join(F.slice(F.split(letters(F.when(enough, start).otherwise(x)), " "), 1, n), " ")

@@ -70,6 +70,9 @@ def tiered(asked: DataFrame, known: DataFrame, asked_id: str, known_id: str, nam
     long = lambda c: F.length(c) >= least_length
     lasts = k.filter(F.col("_i").isNotNull() & long(F.col("_l"))).groupBy("_i", "_l").agg(F.min("_id").alias("_id"))
     wanted = a.filter(F.col("_ai").isNotNull() & long(F.col("_al")))
+    # only known words of an asked length, two letters more or less, are cut: keys grow with the square of a word's length
+    lengths = wanted.select(F.col("_ai").alias("_li"), F.explode(F.sequence(F.length("_al") - 2, F.length("_al") + 2)).alias("_ll")).distinct()
+    lasts = lasts.join(lengths, (F.col("_i") == F.col("_li")) & (F.length("_l") == F.col("_ll")), "left_semi")
     near = within(wanted.select(F.col("_ai").alias("i"), F.col("_al").alias("name")), lasts.select(F.col("_i").alias("i"), F.col("_l").alias("name")), 2, block=["i"])
     near = near.join(lasts, (F.col("i") == F.col("_i")) & (F.col("right_name") == F.col("_l"))).groupBy("i", "left_name").agg(F.min(F.struct("distance", "_id")).alias("m"))
     loose = wanted.join(near, (F.col("_ai") == F.col("i")) & (F.col("_al") == F.col("left_name"))).select("_a", F.lit(3).alias("tier"), F.col("m.distance").alias("distance"), F.col("m._id").alias("_id"))

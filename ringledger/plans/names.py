@@ -29,7 +29,7 @@ TWO_SQL = "array_to_string(string_split({0}, ' ')[1:2], ' ')"
 
 def first_words(column):
     """The first two words of a text as a name."""
-    return F.array_join(F.slice(F.split(U.letters(F.col(column)), " "), 1, 2), " ")
+    return U.leading(F.col(column), 2)
 
 
 @query("fn6_jn27_tiered_names", f"""WITH k AS (SELECT name, min(doc_id) AS id FROM (SELECT doc_id, {TWO_SQL.format(NAME_SQL.format('text'))} AS name FROM documents) WHERE name <> '' GROUP BY 1),

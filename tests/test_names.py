@@ -125,3 +125,27 @@ def test_contexts_of_a_column(spark):
     df = spark.createDataFrame([(1, "A License here"), (2, "none"), (3, None), (4, "license " * 40)], "id long, t string")
     got = {x["id"]: x["c"] for x in df.select("id", T.in_context(F.col("t"), "license", 20).alias("c")).collect()}
     assert got == {1: ["a license here"], 2: [], 3: None, 4: re.findall("(?s).{0,20}license.{0,20}", "license " * 40)}
+
+
+def test_leading_words_are_those_of_the_whole_text(spark):
+    r = random.Random(12)
+    pieces = ["ab", "É", "q1", "--", " ", "  ", "\n", "´", " ", "ﬁ", "x", "Ǆ", "7", "é́", "\t"]
+    data = ["".join(r.choice(pieces) for _ in range(r.randrange(30))) for _ in range(1500)] + [None, "", "a b", "a " + "-" * 50 + " b c", "élan Ĳ b c d"]
+    df = spark.createDataFrame([(x,) for x in data], "t string")
+    for head in (1, 6, 20):
+        got = df.select(U.leading(F.col("t"), 2, head).alias("g"), F.array_join(F.slice(F.split(U.letters(F.col("t")), " "), 1, 2), " ").alias("w")).collect()
+        assert [g for g, _ in got] == [w for _, w in got]
+
+
+def test_leading_words_read_a_head_and_far_lengths_are_not_cut(spark, monkeypatch):
+    """A whole text went to Python for two words, and each known word was cut, 70 letters into 2500 keys."""
+    sent = spark.createDataFrame([("one two three " + "four " * 9000,)], "t string")
+    plan = sent.select(U.leading(F.col("t"), 2).alias("x"))
+    assert plan.first()[0] == "one two" and "substring(t" in plan._jdf.queryExecution().optimizedPlan().toString()
+    cut = []
+    real = fuzzy.within
+    monkeypatch.setattr(fuzzy, "within", lambda a, b, *x, **y: cut.append(b) or real(a, b, *x, **y))
+    known = spark.createDataFrame([(1, "ann smithe"), (2, "ann " + "z" * 70), (3, "bob smithe"), (4, "ann smithsons")], "k int, name string")
+    asked = spark.createDataFrame([(1, "ann smitha")], "a int, name string")
+    assert [tuple(x) for x in fuzzy.tiered(asked, known, "a", "k").collect()] == [(1, 3, 1, 1)]
+    assert [x["name"] for x in cut[0].collect()] == ["smithe"]
