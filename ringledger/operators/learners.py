@@ -28,14 +28,14 @@ def compare(df: DataFrame, columns: Sequence[str], label: str, part: str = "part
     """One row a learner and the isotonic calibration of each: n, accuracy, brier, log_loss on the holdout."""
     ready = stored(df.select(*columns, part, F.col(label).cast("double").alias("label")))  # fitting reads it many times
     by = {x: ready.filter(F.col(part) == x) for x in ("train", "val", "holdout")}
-    out = None
-    for name, learner in learners().items():
+
+    def measured(name: str, learner: object) -> list[DataFrame]:
         model = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), learner]).fit(by["train"])
         ensemble.without_summary(model)
         scored = {x: model.transform(by[x]).withColumn("p", vector_to_array("probability")[1]) for x in ("val", "holdout")}
         isotonic = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="q").fit(scored["val"])
         calibrated = isotonic.transform(scored["holdout"]).withColumn("p", F.greatest(F.lit(0.10), F.least(F.lit(0.90), F.col("q"))))
-        for kind, rows in ((name, scored["holdout"]), (f"{name}, calibrated", calibrated)):
-            one = metrics.scores(rows.select("p", "label"), y="label").select(F.lit(kind).alias("learner"), "*")
-            out = one if out is None else out.unionByName(one)
-    return out
+        return [metrics.scores(rows.select("p", "label"), y="label").select(F.lit(kind).alias("learner"), "*") for kind, rows in ((name, scored["holdout"]), (f"{name}, calibrated", calibrated))]
+
+    each = ensemble.side_by_side([lambda n=n, m=m: measured(n, m) for n, m in learners().items()])
+    return ensemble.union([one for pair in each for one in pair])
