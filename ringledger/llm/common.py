@@ -69,9 +69,12 @@ def bundle_of(columns: list[str], n: int) -> Column:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit integers (the finaliser of the splitmix64 generator)."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x = x ^ (x >> U64(30))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 def raw_strings(array: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

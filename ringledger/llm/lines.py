@@ -10,8 +10,9 @@ occurrence with the smallest (doc_id, line number) stays; equal lines are one li
 2. Most lines have no other relative: bundles ask by 32-bit names which bands of the lines they represent occur elsewhere
    or twice (superkmers.ask and answer), so that only lines with a shared band travel with their text, once.
 3. Buckets with the same members count once. Buckets of up to SMALL lines are dealt into chunks by their smallest member, so that the buckets of one family meet
-   and a text travels once a chunk. A chunk counts the common shingles of each pair once, writes no pairs, and gives
-   the links of a spanning forest. A line is in BANDS buckets at most, which bounds its partners here.
+   and a text travels once a chunk. A chunk counts the common shingles of a pair once, unless sizes or a bound from bits
+   exclude the pair or other links join its lines already; it writes no pairs, and gives a star around the first line of
+   each component. A line is in BANDS buckets at most, which bounds its partners here.
 4. Larger buckets hold families of edited copies; stars.py finds their links without looking at all pairs.
 
 Recall: 40 bands of 6 bins would miss a pair at exactly 80 % with a chance of 5e-6 if they shared no bins; here 120
@@ -26,8 +27,6 @@ Defined cases: a null text has no lines and stays null; repeated rows of one id
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,13 +44,19 @@ BANDS = DEALS * BINS // ROWS
 BLANK = "\x20\t\n\x0b\x0c\r"
 #: Lines of a bucket that is tested pair by pair in one task.
 SMALL = 64
+#: Bits that tell of a set, without its members, which others it can't be similar to.
+BITS = 2048
+#: Rounds of one pair for each line, before all pairs that are left.
+ROUNDS = 3
 #: Bits of a shingle's name, and names that are compared at once.
 NAME_BITS, AT_ONCE = 52, 200_000
+#: Lines and characters that are hashed at once.
+PART_LINES, PART_CHARS = 400, 60_000
 
 SAME_ASK = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("names", pa.binary())])
 SAME_ANSWER = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("bits", pa.binary()), ("mine", pa.binary())])
-CANDIDATE = pa.schema([("b", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int64()), ("text", pa.string()), ("bands", pa.list_(pa.int64()))])
-CANDIDATE_DDL = "b int, key binary, doc_id long, line long, text string, bands array<long>"
+CANDIDATE = pa.schema([("b", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int64()), ("node", pa.int64()), ("text", pa.string()), ("bands", pa.list_(pa.int64()))])
+CANDIDATE_DDL = "b int, key binary, doc_id long, line long, node long, text string, bands array<long>"
 
 
 def window_names(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +72,8 @@ def window_names(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     while held < width:  # the hash of a window from those of two halves, or of all but its last character
         step = held if 2 * held <= width else 1
         more = names[step:] if step == held else points[held:]
-        names = names[: max(0, len(names) - step)] * U64(pow(base, step, 1 << 64)) + more
+        names = names[: max(0, len(names) - step)] * U64(pow(base, step, 1 << 64))
+        names += more
         held += step
     out = np.zeros(total, U64)
     out[: len(names)] = names
@@ -83,8 +89,8 @@ def window_names(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
 def line_sets(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each line as sorted names of NAME_BITS bits, and the n + 1 offsets."""
     found, sizes = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
-    for a in range(0, len(lines), 400):  # small enough for the processor's cache
-        part = lines[a : a + 400]
+    for place in in_cache(lines):
+        part = lines[place]
         names, owner = window_names(part, width)
         both = (owner.astype(U64) << U64(NAME_BITS)) | (names >> U64(64 - NAME_BITS))
         both = both[owner < len(part)]
@@ -97,19 +103,35 @@ def line_sets(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.cumsum(np.concatenate(sizes))
 
 
+def in_cache(lines: list[str]) -> list[slice]:
+    """The lines in parts whose arrays fit the processor's cache: PART_LINES lines, and PART_CHARS characters or one line, at most."""
+    out, a, chars = [], 0, 0
+    for i, n in enumerate(map(len, lines)):
+        if i > a and (i - a == PART_LINES or chars + n > PART_CHARS):
+            out.append(slice(a, i))
+            a, chars = i, 0
+        chars += n
+    return [*out, slice(a, len(lines))]
+
+
 def signatures(lines: list[str], width: int) -> np.ndarray:
     out = np.zeros((len(lines), BINS), np.uint32)
-    for a in range(0, len(lines), 400):
-        part = lines[a : a + 400]
-        names, owner = window_names(part, width)
-        out[a : a + 400] = minhash.least_values(names, owner, len(part) + 1, BINS)[:-1]
-    return minhash.densify(out)
+    for part in in_cache(lines):
+        names, owner = window_names(lines[part], width)
+        out[part] = minhash.least_values(names, owner, part.stop - part.start + 1, BINS)[:-1]
+    for a in range(0, len(lines), 4000):
+        minhash.densify(out[a : a + 4000])
+    return out
 
 
 def dealt_bands(signature: np.ndarray) -> np.ndarray:
     """n x BANDS hashes: the bins in order, then in other fixed orders."""
     orders = [np.argsort(mix(np.arange(BINS, dtype=U64) + U64(1000 * k))) if k else np.arange(BINS) for k in range(DEALS)]
-    return np.concatenate([mix(minhash.bands(signature[:, x], ROWS) + U64(k)) for k, x in enumerate(orders)], axis=1)
+    out = np.empty((len(signature), BANDS), U64)
+    for a in range(0, len(signature), PART_LINES):
+        part = signature[a : a + PART_LINES]
+        out[a : a + PART_LINES] = np.concatenate([mix(minhash.bands(part[:, x], ROWS) + U64(k)) for k, x in enumerate(orders)], axis=1)
+    return out
 
 
 class Lines:
@@ -152,16 +174,19 @@ class Lines:
         return S.Runs(none, none, name, ((name >> U64(32)) % U64(groups)).astype(np.int64), np.repeat(pick, BANDS)), bands
 
     def candidates(self, bundle: int, width: int, groups: int, same: pa.Table, answers: pa.Table) -> pa.Table:
-        """The represented lines with a shared band, with text and those bands, and the bare keys of lines that other bundles have too."""
+        """The represented lines with a shared band, with text and those bands, and the bare keys of lines that other bundles have too.
+
+        One bundle represents a line, so that the bundle and the line's place there number it (`node`).
+        """
         shared, mine = self.told_same(groups, same)
         pick = np.flatnonzero(mine)
         found, bands = self.runs(pick, width, groups)
-        group, _, place, _ = S.names_by_group(found)
-        hot = S.told_bits(group, answers)[place].reshape(bands.shape) if len(place) else np.zeros(bands.shape, bool)
+        hot = S.told_names(found, answers).reshape(bands.shape)
         full = {int(pick[i]): bands[i][hot[i]].view(np.int64) for i in np.flatnonzero(hot.any(axis=1)).tolist()}
         rows = sorted(full.keys() | set(np.flatnonzero(shared).tolist()))
         at = [self.at[i] for i in rows]
-        return pa.table([pa.array(np.full(len(rows), bundle), pa.int32()), pa.array([key_of(self.text[i]) for i in rows], pa.binary()), pa.array([x for x, _ in at], pa.int64()), pa.array([x for _, x in at], pa.int64()), pa.array([self.text[i] if i in full else None for i in rows], pa.string()), pa.array([full.get(i) for i in rows], pa.list_(pa.int64()))], schema=CANDIDATE)
+        columns = [np.full(len(rows), bundle), [key_of(self.text[i]) for i in rows], [x for x, _ in at], [x for _, x in at], [bundle << 32 | i if i in full else None for i in rows], [self.text[i] if i in full else None for i in rows], [full.get(i) for i in rows]]
+        return pa.table([pa.array(x, kind.type) for x, kind in zip(columns, CANDIDATE, strict=True)], schema=CANDIDATE)
 
 
 def answer_same(table: pa.Table) -> pa.Table:
@@ -207,47 +232,83 @@ def common(names: np.ndarray, first: np.ndarray, x: np.ndarray, y: np.ndarray) -
     return out
 
 
-def forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """Those of the links that join what the ones before left apart."""
-    up: dict[int, int] = {}
+def may_fit(names: np.ndarray, first: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether the sets x[i] and y[i] can be similar enough, as far as a bit for each of BITS remainders of names tells.
+
+    A remainder that only one set has stands for a member, or more, that the other lacks.
+    """
+    size = np.diff(first)
+    held = np.zeros((len(size), BITS // 8), np.uint8)
+    for a in range(0, len(size), 2000):
+        part = size[a : a + 2000]
+        flags = np.zeros(len(part) * BITS, bool)
+        flags[np.repeat(np.arange(len(part)) * BITS, part) + (names[first[a] : first[a + len(part)]] & U64(BITS - 1)).astype(np.int64)] = True
+        held[a : a + 2000] = np.packbits(flags.reshape(len(part), BITS), axis=1)
+    held = held.view(U64)
+    out = np.zeros(len(x), bool)
+    for a in range(0, len(x), 2000):
+        i, j = x[a : a + 2000], y[a : a + 2000]
+        p, q = held[i], held[j]
+        lacks = [np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64) for u, v in ((p, q), (q, p))]
+        most = np.minimum(size[i] - lacks[0], size[j] - lacks[1])
+        out[a : a + 2000] = 100 * most >= threshold * (size[i] + size[j] - most)
+    return out
+
+
+def joined(n: int, up: list[int], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest member of the component of each of n nodes, after more links; `up` keeps what was joined before."""
 
     def top(i: int) -> int:
-        while (j := up.get(i, i)) != i:
-            up[i] = i = up.get(j, j)
+        while (j := up[i]) != i:
+            up[i] = i = up[j]
         return i
 
-    out = []
     for i, j in zip(x.tolist(), y.tolist(), strict=True):
         a, b = top(i), top(j)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((i, j))
+        up[max(a, b)] = min(a, b)
+    out = np.array(up, np.int64)
+    while not np.array_equal(out, more := out[out]):
+        out = more
     return out
 
 
 def small_links(members: pa.Table, texts: pa.Table, width: int, threshold: int) -> pa.Table:
-    """Links among the lines of each bucket: members has bucket and node, texts has node and text."""
-    node = texts["node"].to_pylist()
+    """Links among the lines of each bucket: members has bucket and node, texts has node and text.
+
+    A pair whose lines other links join already is not tested; what comes back are stars around each component's first line.
+    """
+    texts = texts.sort_by("node")
+    node = texts["node"].to_numpy()
     names, first = line_sets(texts["text"].to_pylist(), width)
-    size, number = np.diff(first), dict(zip(node, range(len(node)), strict=True))
+    size = np.diff(first)
     bucket = members["bucket"].to_numpy()
     order = np.argsort(bucket, kind="stable")
-    own = np.fromiter(map(number.__getitem__, members["node"].to_pylist()), np.int64, len(order))[order]
+    own = np.searchsorted(node, members["node"].to_numpy())[order]
     cuts = S.runs(bucket[order])
     held = np.diff(cuts)
     pairs = [np.zeros(0, np.int64)]
     for k in np.unique(held).tolist():  # all buckets of one size at once
         block = own[cuts[:-1][held == k][:, None] + np.arange(k)]
-        for i, j in combinations(range(k), 2):
-            low, high = np.minimum(block[:, i], block[:, j]), np.maximum(block[:, i], block[:, j])
-            pairs.append(low * len(node) + high)
+        i, j = np.triu_indices(k, 1)
+        low, high = np.minimum(block[:, i], block[:, j]), np.maximum(block[:, i], block[:, j])
+        fits = 100 * np.minimum(size[low], size[high]) >= threshold * np.maximum(size[low], size[high])
+        pairs.append(low[fits] * len(node) + high[fits])
     x, y = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(node)))
-    fits = 100 * np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y])
+    fits = may_fit(names, first, x, y, threshold)
     x, y = x[fits], y[fits]
-    both = common(names, first, x, y)
-    good = 100 * both >= threshold * (size[x] + size[y] - both)
-    links = forest(x[good], y[good])
-    return pa.table([pa.array([node[i] for i, _ in links], pa.binary()), pa.array([node[j] for _, j in links], pa.binary())], names=["a", "b"])
+    up, root = list(range(len(node))), np.arange(len(node))
+    for rounds_left in range(ROUNDS, -1, -1):
+        # one pair for each line on the right, that with the first partner; in the end all that are left
+        now = np.unique(y, return_index=True)[1] if rounds_left else np.arange(len(x))
+        both = common(names, first, x[now], y[now])
+        good = now[100 * both >= threshold * (size[x[now]] + size[y[now]] - both)]
+        root = joined(len(node), up, x[good], y[good])
+        left = np.ones(len(x), bool)
+        left[now] = False
+        left &= root[x] != root[y]
+        x, y = x[left], y[left]
+    away = np.flatnonzero(root != np.arange(len(node)))
+    return pa.table([pa.array(node[root[away]], pa.int64()), pa.array(node[away], pa.int64())], names=["a", "b"])
 
 
 def confirm(pairs: DataFrame, lines: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -264,7 +325,7 @@ def confirm(pairs: DataFrame, lines: DataFrame, width: int, threshold: int) -> D
                 good.append(100 * both >= threshold * (len(p) + len(q) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return wide.mapInArrow(run, "a binary, b binary")
+    return wide.mapInArrow(run, "a long, b long")
 
 
 def linked(members: DataFrame, lines: DataFrame, width: int, threshold: int, chunk_mb: float = 2.0) -> DataFrame:
@@ -276,7 +337,7 @@ def linked(members: DataFrame, lines: DataFrame, width: int, threshold: int, chu
     dealt = once.filter(F.col("k") <= SMALL).select("_b", F.pmod(F.xxhash64("lo"), F.lit(n)).cast("int").alias("chunk"))
     placed = stored(members.join(dealt, F.col("bucket") == F.col("_b")).select("chunk", "bucket", "node"))
     texts = placed.select(F.col("chunk").alias("c"), F.col("node").alias("_n")).distinct().join(lines, F.col("node") == F.col("_n")).select("c", "node", F.col("payload").alias("text"))
-    links = stored(placed.groupBy("chunk").cogroup(texts.groupBy("c")).applyInArrow(lambda held, text: small_links(held, text, width, threshold), "a binary, b binary"))
+    links = stored(placed.groupBy("chunk").cogroup(texts.groupBy("c")).applyInArrow(lambda held, text: small_links(held, text, width, threshold), "a long, b long"))
     large = stored(members.join(once.filter(F.col("k") > SMALL).select("_b"), F.col("bucket") == F.col("_b"), "left_semi"))
     if not large.isEmpty():
         sets = stored(lines.join(large.select(F.col("node").alias("_n")).distinct(), F.col("node") == F.col("_n"), "left_semi"))
@@ -308,18 +369,20 @@ def dedup(docs: DataFrame, width: int = 8, threshold: int = 80, id_col: str = "d
     both = same.unionByName(told.withColumn("mine", F.lit(None).cast("binary")))
     found = stored(bundles.cogroup(both.groupBy("b")).applyInArrow(narrow, CANDIDATE_DDL))
     some = found.filter("text is not null")
-    members = stored(some.select(F.col("key").alias("node"), F.explode("bands").alias("bucket")))
-    roots = linked(members, some.select(F.col("key").alias("node"), F.col("text").alias("payload")), width, threshold)
+    members = stored(some.select("node", F.explode("bands").alias("bucket")))
+    roots = linked(members, some.select("node", F.col("text").alias("payload")), width, threshold)
+    roots = some.select("key", F.col("node").alias("_n")).join(roots, F.col("node") == F.col("_n")).select(F.col("key").alias("_k"), "root")
     named = found.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    named = named.join(roots.select(F.col("node").alias("_n"), "root"), F.col("key") == F.col("_n"), "left").select("key", "at", F.coalesce("root", "key").alias("root"))
-    named = stored(named)
-    stays = named.groupBy("root").agg(F.min("at").alias("first"))
-    verdict = named.join(stays, "root").select(F.col("key").alias("_k"), "first")
-    told = found.select("b", "key").join(verdict, F.col("key") == F.col("_k")).select("b", "key", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
+    named = stored(named.join(roots, F.col("key") == F.col("_k"), "left").select("key", "at", "root"))
+    stays = named.filter("root is not null").groupBy(F.col("root").alias("_r")).agg(F.min("at").alias("first"))
+    verdict = named.join(stays, F.col("root") == F.col("_r")).select(F.col("key").alias("_k"), "first")
+    verdict = verdict.unionByName(named.filter("root is null").select(F.col("key").alias("_k"), F.col("at").alias("first")))
+    told = found.select("b", "key", "doc_id", "line").join(verdict, F.col("key") == F.col("_k")).filter("first != struct(doc_id, line)")
+    told = told.select("b", "key", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
 
     def final(table, answers):
         told = dict(zip(answers["key"].to_pylist(), zip(answers["first_doc"].to_pylist(), answers["first_line"].to_pylist(), strict=True), strict=True))
-        own = Lines(table)  # a line that no answer names occurs in this bundle only
+        own = Lines(table)  # of a line that no answer names, the first occurrence of all is here
         stay = {line: told.get(key_of(line), at) for line, at in zip(own.text, own.at, strict=True)}
         texts, counts, removed = [], [], []
         ids = table["doc_id"].fill_null(S.NO_ID).to_pylist()

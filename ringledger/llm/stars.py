@@ -112,15 +112,17 @@ def block_links(odd: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFr
         size = np.diff(first)
         node, root = table["node"].to_pylist(), table["root"].to_pylist()
         asked, at = hashes_of(queries["payload"])
-        filled = np.flatnonzero(size)
+        order = np.argsort(names)
+        ordered, owner = names[order], np.repeat(np.arange(len(size)), size)[order]
         found = []
         for q, (x, own) in enumerate(zip(queries["node"].to_pylist(), queries["root"].to_pylist(), strict=True)):
             wanted = np.sort(asked[at[q] : at[q + 1]])
-            if not len(wanted) or not len(filled):
+            if not len(wanted):
                 continue
-            hit = wanted[np.minimum(np.searchsorted(wanted, names), len(wanted) - 1)] == names
-            both = np.zeros(len(size), np.int64)
-            both[filled] = np.add.reduceat(hit, first[filled], dtype=np.int64)
+            begin = np.searchsorted(ordered, wanted)
+            times = np.searchsorted(ordered, wanted, side="right") - begin
+            held = np.arange(times.sum()) + np.repeat(begin - (np.cumsum(times) - times), times)
+            both = np.bincount(owner[held], minlength=len(size))
             seen = {own}
             for i in np.flatnonzero(100 * both >= threshold * (size + len(wanted) - both)).tolist():
                 if root[i] not in seen:

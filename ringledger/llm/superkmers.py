@@ -145,9 +145,35 @@ def names_by_group(found: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return (distinct >> U64(32)).astype(np.int64), (distinct & U64(0xFFFFFFFF)).astype(np.uint32), place, times
 
 
+def sorted_names(found: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """names_by_group without the places, which takes a plain sort."""
+    key = np.sort((found.group.astype(U64) << U64(32)) | (found.name & U64(0xFFFFFFFF)))
+    cuts = runs(key)
+    distinct = key[cuts[:-1]]
+    return (distinct >> U64(32)).astype(np.int64), (distinct & U64(0xFFFFFFFF)).astype(np.uint32), np.diff(cuts)
+
+
+def told_names(found: Runs, answers: pa.Table) -> np.ndarray:
+    """The answer to the name of each run; told_bits has one for each distinct name."""
+    group, name, _ = sorted_names(found)
+    told = told_bits(group, answers)
+    wanted = (group[told].astype(U64) << U64(32)) | name[told]
+    out = np.zeros(len(found.name), bool)
+    if len(wanted):
+        sieve = np.zeros(1 << 20, bool)  # most names are not among them
+        sieve[wanted & U64(0xFFFFF)] = True
+        maybe = np.flatnonzero(sieve[found.name & U64(0xFFFFF)])
+        key = (found.group[maybe].astype(U64) << U64(32)) | (found.name[maybe] & U64(0xFFFFFFFF))
+        out[maybe] = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+    return out
+
+
 def ask(bundle: int, found: Runs, sketches: np.ndarray | None = None) -> pa.Table:
     """With sketches, a name also carries a mark: that of its smallest sketch here."""
-    group, name, place, times = names_by_group(found)
+    if sketches is None:
+        group, name, times = sorted_names(found)
+    else:
+        group, name, place, times = names_by_group(found)
     cuts = runs(group)
     heads = group[cuts[:-1]]
     more = [np.packbits(times[a:b] > 1).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
