@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringledger.operators import cards, ensemble, importance, production, progress
+from ringledger.operators import cards, ensemble, forests, importance, production, progress
 from ringledger.operators.isotonic import Calibrator
 from ringledger.sources import bundles, pointers
 from ringledger.sources.files import scratch, stored
@@ -274,3 +274,60 @@ def test_learners_go_over_partitions_of_bounded_size(spark):
     parts = ensemble.spread(rows, per=100)
     assert parts.rdd.getNumPartitions() == 10 and sorted(r["id"] for r in parts.select("id").collect()) == list(range(1000))
     assert ensemble.spread(rows, per=100_000).rdd.getNumPartitions() == 2
+
+
+def repeating(spark, n=6000):
+    """Rows of few distinct values, two of which decide."""
+    r = random.Random(3)
+    data = [(i, float(r.randint(-3, 3)), float(r.randint(-4, 4)), round(r.gauss(0, 1) * 2) / 2) for i in range(n)]
+    data = [(i, x, z, u, float(r.random() < 1 / (1 + np.exp(-0.5 * x - 0.4 * (z % 3) - 0.5 * u)))) for i, x, z, u in data]
+    return stored(spark.createDataFrame(data, "id long, x double, z double, u double, label double"))
+
+
+def test_forest_from_counts_is_one_from_rows(spark):
+    """Fitted on counts of equal rows, a forest differs from Spark's on the rows no more than by another seed, and keeps its sizes."""
+    rows, columns = repeating(spark), ["x", "z", "u"]
+    counts = forests.counted(rows, forests.bins(rows, columns))
+    assert counts.agg(F.sum("n")).first()[0] == 6000 > 4 * counts.count()
+    learner = lambda: ensemble.forest(25, 4)
+    other = learner()
+    other.setSeed(7)
+    made = {"counts": ensemble.fitted_forest(rows, columns, learner(), counted=0), "rows": ensemble.fitted_forest(rows, columns, learner()), "seed": ensemble.fitted_forest(rows, columns, other)}
+    trees = made["counts"].stages[-1].trees
+    assert len(trees) == 25 and all(t.depth <= 4 for t in trees) and len({t.toDebugString.split("\n", 1)[1] for t in trees}) > 20
+    told = ensemble.scored_by(rows, made).toPandas()
+    assert (told["counts"] - told["rows"]).abs().mean() < 1.5 * (told["seed"] - told["rows"]).abs().mean() + 0.002
+    gains = [importance.gains(m, columns) for m in made.values()]
+    assert all(abs(gains[0][c] - gains[1][c]) < 0.03 for c in columns)
+
+
+def test_draws_are_poisson_and_do_not_depend_on_partitions(spark):
+    counts = spark.createDataFrame([(float(i), i % 2 * 1.0, 1 + 40 * (i % 3)) for i in range(900)], "a double, label double, n long")
+    frames = [spark.read.parquet(forests.draws(x, 30, 5)).toPandas().sort_values(["t", "a"]) for x in (counts, counts.repartition(7))]
+    assert frames[0].reset_index(drop=True).equals(frames[1].reset_index(drop=True)) and (frames[0]["w"] > 0).all()
+    for n in (1, 41, 81):
+        w = frames[0][(frames[0]["a"] % 3) == (n - 1) // 40]["w"].to_numpy()
+        w = np.concatenate([w, np.zeros(9000 - len(w))])  # 300 rows, 30 trees
+        assert abs(w.mean() - n) < 4 * (n / 9000) ** 0.5 and abs(w.var() / n - 1) < 0.1
+
+
+def test_a_forest_is_asked_once_for_each_distinct_row(spark):
+    rows = repeating(spark, 2000)
+    model = ensemble.fitted(rows, ["x", "z", "u"], ensemble.forest(5, 3))
+    said = forests.told(rows, model, lambda p: p / 2)
+    by = model.stages[0]
+    assert said.count() == by.transform(rows).select(*by.getOutputCols()).distinct().count() < 1700
+    plain = {r["id"]: r["probability"][1] for r in model.transform(rows).select("id", "probability").collect()}
+    got = {r["id"]: r["q"] for r in ensemble.scored_by(rows, {"q": model}, {"q": lambda p: p / 2}).collect()}
+    assert got == {k: v / 2 for k, v in plain.items()}
+
+
+def test_trees_part_bins_in_their_order(spark):
+    """Bins aren't categories: only the halves of a sawtooth that lie together may be told apart by one cut."""
+    rows = spark.range(4000).selectExpr("id", "double(id % 20) AS x", "double(id % 2) AS label")
+    model = ensemble.fitted(stored(rows), ["x"], ensemble.forest(3, 1))
+    assert " in {" not in "".join(t.toDebugString for t in model.stages[-1].trees)
+
+
+def test_fits_side_by_side_hold_a_bounded_number_of_rows():
+    assert [ensemble.beside(n) for n in (0, 1000, ensemble.HELD // 3, ensemble.HELD, 10 * ensemble.HELD)] == [4, 4, 3, 1, 1]
