@@ -6,6 +6,8 @@ import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import Bucketizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +50,12 @@ def gains(model: PipelineModel, columns: Sequence[str]) -> dict[str, float]:
     return {c: float(v) / total for c, v in zip(columns, values, strict=True)}
 
 
-def auc_by(rows: DataFrame, keys: Sequence[str], p: str, y: str, buckets: int = 1000) -> DataFrame:
-    """Area under the ROC curve for each key: tied scores are merged, then counted from bucket to bucket of probability."""
-    each = rows.groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_n"), F.sum(F.col(y).cast("long")).alias("_pos"))
+def auc_by(rows: DataFrame, keys: Sequence[str], p: str, y: str, buckets: int = 1000, n: str | None = None) -> DataFrame:
+    """Area under the ROC curve for each key: tied scores are merged, then counted from bucket to bucket of probability.
+
+    With n, a row stands for so many, of which y have the outcome.
+    """
+    each = rows.groupBy(*keys, F.col(p).alias("_p")).agg((F.sum(n) if n else F.count("*")).alias("_n"), F.sum(F.col(y).cast("long")).alias("_pos"))
     each = each.withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor(F.col("_p") * buckets)))
     totals = each.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_bucket").alias("_c")).agg(F.sum("_n").alias("_all"))
     above = Window.partitionBy(*(f"_k_{k}" for k in keys)).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,11 +69,12 @@ def auc_by(rows: DataFrame, keys: Sequence[str], p: str, y: str, buckets: int =
     return ranked.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_rank") * F.col("_pos")) - pos * (pos + 1) / 2, pos * neg).alias("auc"))
 
 
-def permuted(rows: DataFrame, columns: Sequence[str], predict: Callable[[DataFrame], DataFrame], key: str, label: str = "label", repeats: int = 10, seed: int = 42) -> DataFrame:
+def permuted(rows: DataFrame, columns: Sequence[str], predict: Callable[[DataFrame], DataFrame], key: str, label: str = "label", repeats: int = 10, seed: int = 42, merged: bool = False) -> DataFrame:
     """feature, auc (of the rows as they are), loss and spread: the mean fall of AUC over the repeats, and its deviation.
 
     predict adds p. Rows get numbers once; for each repeat, a row meets the row that the permutation sends it, by an equi-join,
-    and yields a copy for each feature with that row's value. All copies are scored in one pass.
+    and yields a copy for each feature with that row's value. All copies are scored in one pass; with merged, equal ones are
+    counted first, and each distinct row is scored once.
     """
     n = rows.count()
     slim = stored(numbered(rows.select(key, F.col(label).alias("_y"), *(F.col(c).cast("double").alias(c) for c in columns)), n, key, "_n"))
@@ -79,7 +85,13 @@ def permuted(rows: DataFrame, columns: Sequence[str], predict: Callable[[DataFra
     copies = met.withColumn("feature", F.explode(names))
     copies = copies.select("feature", "repeat", F.col("_y"), *(F.when(F.col("feature") == c, F.col(f"_other.{c}")).otherwise(F.col(c)).alias(c) for c in columns))
     plain = slim.select(F.lit(None).cast("string").alias("feature"), F.lit(None).cast("int").alias("repeat"), "_y", *columns)
-    found = auc_by(predict(copies.unionByName(plain)), ["feature", "repeat"], "p", "_y")
+    every = copies.unionByName(plain)
+    if merged:
+        each = stored(every.groupBy("feature", "repeat", *columns).agg(F.count("*").alias("_n"), F.sum(F.col("_y").cast("long")).alias("_pos")))
+        said = stored(predict(each.select(*columns).distinct()).select(*columns, "p"))
+        found = auc_by(each.join(said, list(columns)), ["feature", "repeat"], "p", "_pos", n="_n")
+    else:
+        found = auc_by(predict(every), ["feature", "repeat"], "p", "_y")
     found = stored(found)  # a row a feature and repeat
     whole = found.filter("feature is null").select(F.col("auc").alias("_whole"))
     fall = F.col("_whole") - F.col("auc")
@@ -87,8 +99,14 @@ def permuted(rows: DataFrame, columns: Sequence[str], predict: Callable[[DataFra
     return each.agg(F.first("_whole").alias("auc"), F.avg(fall).alias("loss"), F.stddev_pop(fall).alias("spread"))
 
 
-def report(rows: DataFrame, columns: Sequence[str], model: PipelineModel, predict: Callable[[DataFrame], DataFrame], key: str, **how: object) -> DataFrame:
-    """The permutation importance of each feature beside its gain."""
+def report(rows: DataFrame, columns: Sequence[str], model: PipelineModel, predict: Callable[[DataFrame], DataFrame], key: str, label: str = "label", **how: object) -> DataFrame:
+    """The permutation importance of each feature beside its gain. A model that begins with bins sees no more of a row than them."""
     told = gains(model, columns)
+    if isinstance(model.stages[0], Bucketizer):
+        by, rest = model.stages[0], PipelineModel(model.stages[1:])
+        bins = dict(zip(by.getInputCols(), by.getOutputCols(), strict=True))
+        rows = by.transform(rows).select(key, label, *(F.col(bins[c]).alias(c) for c in columns))
+        predict = lambda x: rest.transform(x.withColumns({b: F.col(c) for c, b in bins.items()})).select(*columns, vector_to_array("probability")[1].alias("p"))
+        how["merged"] = True
     gain = F.create_map(*(x for c, v in told.items() for x in (F.lit(c), F.lit(v))))
-    return permuted(rows, columns, predict, key, **how).withColumn("gain", F.try_element_at(gain, F.col("feature")))
+    return permuted(rows, columns, predict, key, label, **how).withColumn("gain", F.try_element_at(gain, F.col("feature")))

@@ -331,3 +331,18 @@ def test_trees_part_bins_in_their_order(spark):
 
 def test_fits_side_by_side_hold_a_bounded_number_of_rows():
     assert [ensemble.beside(n) for n in (0, 1000, ensemble.HELD // 3, ensemble.HELD, 10 * ensemble.HELD)] == [4, 4, 3, 1, 1]
+
+
+def test_importance_scores_each_distinct_copy_once(spark, monkeypatch):
+    """Equal copies are counted before they are scored, with the result of scoring all of them."""
+    rows, columns = repeating(spark, 1500), ["x", "z", "u"]
+    model = ensemble.fitted(rows, columns, ensemble.forest(8, 3))
+    asked = []
+    real = importance.permuted
+    monkeypatch.setattr(importance, "permuted", lambda rows, columns, predict, *rest, **how: real(rows, columns, lambda x: (asked.append((x.count(), x.distinct().count())), predict(x))[1], *rest, **how))
+    got = {r["feature"]: r for r in importance.report(rows, columns, model, lambda x: ensemble.scored(x, model), "id", repeats=3).collect()}
+    monkeypatch.undo()
+    assert len(asked) == 1 and asked[0][0] == asked[0][1] < 1500  # of 15000 copies
+    want = {r["feature"]: r for r in importance.permuted(rows, columns, lambda x: ensemble.scored(x, model), "id", repeats=3).collect()}
+    for c in columns:
+        assert [got[c][k] for k in ("auc", "loss", "spread")] == pytest.approx([want[c][k] for k in ("auc", "loss", "spread")], abs=1e-12)
