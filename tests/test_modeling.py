@@ -346,3 +346,23 @@ def test_importance_scores_each_distinct_copy_once(spark, monkeypatch):
     want = {r["feature"]: r for r in importance.permuted(rows, columns, lambda x: ensemble.scored(x, model), "id", repeats=3).collect()}
     for c in columns:
         assert [got[c][k] for k in ("auc", "loss", "spread")] == pytest.approx([want[c][k] for k in ("auc", "loss", "spread")], abs=1e-12)
+
+
+def test_held_rows_are_not_dealt_again_by_each_fit(spark):
+    rows = ensemble.held(spark.range(1000, numPartitions=2).withColumn("fold", F.col("id") % 5), per=100)
+    part = rows.filter("fold <> 2")
+    assert rows.storageLevel.useDisk and not rows.storageLevel.useMemory
+    assert rows.rdd.getNumPartitions() == 10 and ensemble.spread(part, per=100) is part and part.count() == 800
+    rows.unpersist()
+
+
+def test_what_the_stack_learns_from_is_narrow(folded, small, monkeypatch):
+    """Out-of-fold scores are stored without the features, and all learners are measured from one stored pass."""
+    kept = []
+    real = ensemble.stored
+    monkeypatch.setattr(ensemble, "stored", lambda df: (kept.append(df.columns), real(df))[1])
+    stack = ensemble.Stack.fit(folded, COLUMNS, ensemble.fold_models(folded, COLUMNS, ["logistic", "forest"]))
+    assert ["id", "label", "p_logistic", "p_forest"] in kept
+    kept.clear()
+    got = ensemble.measured_by(stack.predict(folded), {"logistic": "p_logistic", "stack": "p"}).collect()
+    assert len(got) == 2 and kept == [["id", "p_logistic", "p", "won"]]
